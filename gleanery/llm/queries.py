@@ -16,6 +16,18 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleanery.llm.warc import derive, responses_of_pages
+
+    return derive(responses_of_pages(table(spark, sf_dir, "pages")), keep=("page_id",), with_block=False)
+
+
+def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleanery.llm.html_text import main_texts
+
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleanery.llm.token_counts import token_counts
 
@@ -38,6 +50,8 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_derivatives": op1_warc_derivatives,
+    "op2_html_main_text": op2_html_main_text,
     "op3_token_counts": op3_token_counts,
     "op5_language_id": op5_language_id,
     "op10_fingerprints": op10_fingerprints,
