@@ -43,6 +43,25 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleanery.llm.packing import packed
+
+    return packed(table(spark, sf_dir, "documents"))
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleanery.llm.mixing import mixture
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixture(docs).drop("text")
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleanery.llm.line_dedup import without_repeated_lines
+
+    return without_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleanery.llm.fingerprints import edit_report
 
@@ -54,6 +73,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_html_main_text": op2_html_main_text,
     "op3_token_counts": op3_token_counts,
     "op5_language_id": op5_language_id,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_source_mixing": op8_source_mixing,
+    "op9_line_dedup": op9_line_dedup,
     "op10_fingerprints": op10_fingerprints,
 }
 
