@@ -34,6 +34,13 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleanery.llm.ann import nearest
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleanery.llm.language_id import predict, train
 
@@ -78,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_derivatives": op1_warc_derivatives,
     "op2_html_main_text": op2_html_main_text,
     "op3_token_counts": op3_token_counts,
+    "op4_nn_descent": op4_nn_descent,
     "op5_language_id": op5_language_id,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_ngram_jaccard": op7_ngram_jaccard,
