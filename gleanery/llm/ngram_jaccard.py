@@ -18,8 +18,8 @@ A document's set is that of its distinct shingles of five words (64-bit hashes).
    verified like other candidates. With these links the components are final.
 
 Cases: null or empty text, and text without words, has an empty set, links with nothing and is its own component. Fewer than
-five words make one shingle. Repeated rows and texts are one class. Rows that share an id are taken as one document with the
-larger set. Texts are taken whole. An empty table gives none. Columns other than the key and the text are not read.
+five words make one shingle. Repeated rows and texts are one class. Rows that repeat an id with different texts each stand for
+their own text; those with a null id for none. Texts are taken whole. An empty table gives none. Columns other than the key and the text are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import mix, shingle_hashes, slices, stash
+from gleanery.llm.common import free_shuffles, mix, shingle_hashes, slices, stash, unstash
 from gleanery.llm.components import components
 
 #: A token's run with more documents than that goes into the matrix; others give their pairs at once.
@@ -195,18 +195,53 @@ def _entries(classes: DataFrame) -> DataFrame:
     return classes.select("k", "n", "rare", "common").where(F.octet_length("common") > 0).mapInArrow(run, "a bigint, t bigint, n int, q int")
 
 
+#: Bits of the filter by which the second scan keeps the wanted documents: 4 MB, whatever their number. A document too many does no harm.
+FILTER_BITS = 1 << 25
+
+
+def _bits(ids: np.ndarray) -> np.ndarray:
+    return np.concatenate([mix(ids.view(np.uint64) + np.uint64(k << 60)) % np.uint64(FILTER_BITS) for k in (1, 2, 3)]).astype(np.int64)
+
+
+def _id_filter(wanted: DataFrame) -> np.ndarray:
+    """A Bloom filter of the ids (k). Chunks of it are merged by tasks, so that its size is all the driver gets."""
+    width = FILTER_BITS // 8 // 64
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on = np.zeros(FILTER_BITS, bool)
+        for batch in batches:
+            on[_bits(batch.column(0).to_numpy())] = True
+        packed = np.packbits(on).reshape(64, width)
+        full = np.flatnonzero(packed.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([packed[i].tobytes() for i in full], pa.binary())], names=["chunk", "bits"])
+
+    def merge(group: pa.Table) -> pa.Table:
+        bits = np.zeros(width, np.uint8)
+        for x in group.column("bits"):
+            bits |= np.frombuffer(x.as_buffer(), np.uint8)
+        return pa.table({"chunk": group.column("chunk").slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+    out = np.zeros((64, width), np.uint8)
+    for r in wanted.select("k").mapInArrow(own, "chunk int, bits binary").groupBy("chunk").applyInArrow(merge, "chunk int, bits binary").collect():
+        out[r["chunk"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """k, n, counts, tokens of the wanted documents (k)."""
+    """k, n, counts, tokens of at least the wanted documents (k); a scan without a shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast(_id_filter(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on = np.unpackbits(sent.value).astype(bool)
         for batch in batches:
+            batch = batch.filter(pa.array(on[_bits(batch.column(0).to_numpy())].reshape(3, -1).all(axis=0)))
             for a in range(0, batch.num_rows, 1024):
                 rows = batch.slice(a, 1024)
                 own = list(sets_of(rows.column(1)))
                 counts = [np.minimum(np.bincount((s >> np.uint64(17)).astype(np.int64) & (COUNTS - 1), minlength=COUNTS), 65535).astype(np.uint16).tobytes() for s in own]
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in own], pa.int32()), pa.array(counts, pa.binary()), pa.array([s.tobytes() for s in own], pa.binary())], names=["k", "n", "counts", "tokens"])
 
-    return docs.select("k", "t").join(wanted, "k", "left_semi").mapInArrow(run, "k bigint, n int, counts binary, tokens binary")
+    return docs.where("k is not null").select("k", "t").mapInArrow(run, "k bigint, n int, counts binary, tokens binary")
 
 
 def _bounded(pairs: DataFrame, per_cent: int) -> DataFrame:
@@ -247,7 +282,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
                 ok.append(100 * shared >= per_cent * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_())), batch.column(1).filter(pa.array(ok, pa.bool_()))], names=["a", "b"])
 
-    return stash(pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint"))
+    return stash(pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint").distinct())
 
 
 def _opened(entries: DataFrame, groups: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
@@ -316,27 +351,35 @@ def _bounded_groups(asked: DataFrame, per_cent: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", per_cent: int = 80, sample_docs: int = 4096, sample_least: int = 5) -> DataFrame:
     """key, n_shingles, component_id of each row, and n_links: how many verified links its class has."""
+    spark = docs.sparkSession
     rows = docs.select(F.col(f"`{key}`").cast("bigint").alias("k"), F.col(f"`{text}`").alias("t"))
     frequent = _frequent(rows, sample_docs, sample_least)
-    scanned = stash(_scan(rows, frequent, per_cent))
     identity = ["n", "f1", "f2"]
-    least = scanned.where("n > 0").groupBy(*identity).agg(F.min("k").alias("class"))
-    classes = scanned.where("n > 0").join(least.select(F.col("class").alias("k")), "k", "left_semi").select("k", "n", "rare", "common").dropDuplicates(["k"])
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    classes = stash(classes)
+    scanned = stash(_scan(rows, frequent, per_cent))
+    least = stash(scanned.where("n > 0 and k is not null").groupBy(*identity).agg(F.min("k").alias("class")))
+    own = least.withColumnRenamed("class", "k")
+    classes = stash(scanned.join(own, ["k", *identity], "left_semi").select("k", "n", "rare", "common"))
+    whole, scanned = scanned, stash(scanned.select("k", *identity))
+    unstash(whole)
+    free_shuffles(spark)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     found = stash(_runs(_packed(classes, parts), parts, per_cent))
-    entries = stash(_entries(classes).unionByName(found.where("t is not null").select("a", "t", "n", "q")))
+    entries = stash(_entries(classes).unionByName(found.where("t is not null").select("a", "t", "n", "q")).distinct())
+    unstash(classes)
+    free_shuffles(spark)
     central = entries.groupBy("t").agg(F.min_by("a", F.struct(F.col("q") / F.col("n"), "a")).alias("c"))
     stars = entries.join(central, "t").where("a <> c").select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b"))
     pairs = stash(found.where("b is not null").select("a", "b").unionByName(stars).distinct())
-    wanted = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).unionByName(entries.select(F.col("a").alias("k"))).distinct()
-    sets = stash(_full_sets(rows, wanted).dropDuplicates(["k"]))
+    wanted = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).unionByName(entries.select(F.col("a").alias("k")))
+    sets = stash(_full_sets(rows, wanted))
     links = _verified(pairs, sets, per_cent)
+    free_shuffles(spark)
     groups = components(links)
     more = _verified(stash(_opened(entries, groups, sets, per_cent)), sets, per_cent)
     if more.limit(1).count():
-        links = links.unionByName(more)
+        links = stash(links.unionByName(more).distinct())
         groups = components(links)
+    unstash(sets)
     both = links.select("a").unionByName(links.select(F.col("b").alias("a")))
     per = both.groupBy(F.col("a").alias("class")).agg(F.count(F.lit(1)).alias("n_links"))
     known = least.join(groups, F.col("class") == F.col("id"), "left").join(per, "class", "left")
