@@ -6,7 +6,9 @@ A line of at least min_chars characters goes if an earlier line (by document key
 - Different lines within one edit share a half: their first h or last h characters, h half the shorter's length. Each distinct
   line gives four hashed halves (two lengths at either end); only lines with a half in common with another go on. This filter
   is exact and leaves few lines.
-- Those emit their deletion neighbourhood: for each place, the hash of the line without that character. Lines with equal length
+- The edit lies in one of 16 cells of the line; lines that agree with another in all outside of a cell keep that cell. This is
+  exact too.
+- Of those cells the deletion neighbourhood is emitted: for each place, the hash of the line without that character. Lines with equal length
   that agree without the same place are one substitution apart: of such a group the earliest stands for all, so no pairs are
   made. A line that equals another's variant is one deletion from it.
 - Each line found so is verified with the edit distance to the earlier line it met.
@@ -24,7 +26,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import stash
+from gleanery.llm.common import free_shuffles, stash, unstash
+
+#: Lines that share a half are compared again by so many cells of either.
+CELLS = 16
 
 
 def _hash2(line: Column) -> list[Column]:
@@ -52,19 +57,33 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min
 
     keys = first.select("at", F.explode(F.array_distinct("halves")).alias("half"))
     shared = keys.groupBy("half").agg(F.min("at").alias("a"), F.max("at").alias("b")).where("a <> b").select("half")
-    cands = keys.join(shared, "half", "left_semi").select("at").distinct()
-    lines = rows.select(F.struct("d", "i").alias("at"), "line", "n").join(cands, "at", "left_semi")
-    lines = stash(lines)
-    place = F.sequence(F.lit(1), F.col("n"))
-    cut = F.transform(place, lambda p: F.struct(p.alias("p"), F.xxhash64(F.concat(F.substring(F.col("line"), F.lit(1), p - 1), F.substring(F.col("line"), p + 1, F.col("n")))).alias("v")))
-    variants = lines.select("at", "n", F.explode(cut).alias("x")).select("at", "n", "x.p", "x.v")
+    cands = stash(keys.join(shared, "half", "left_semi").select("at").distinct())
+    exact = stash(exact)
+    unstash(first)
+    unstash(hashed)
+    free_shuffles(docs.sparkSession)
+    lines = stash(rows.select(F.struct("d", "i").alias("at"), "line", "n").join(cands, "at", "left_semi"))
+    unstash(cands)
+    free_shuffles(docs.sparkSession)
+    # cells: m is the shorter's length, [lo, hi] the places of the edit; all outside of them must agree
+    size = F.explode(F.array(F.col("n"), F.col("n") - 1)).alias("m")
+    cells = lines.select("at", "line", "n", size).select("at", "line", "n", "m", F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1))).alias("j"))
+    cells = cells.withColumn("lo", F.floor(F.col("j") * F.col("m") / CELLS).cast("int")).withColumn("hi", F.floor((F.col("j") + 1) * F.col("m") / CELLS).cast("int"))
+    tail = F.col("m") - F.col("hi")
+    cells = cells.select("at", "n", "m", "lo", "hi", F.xxhash64("m", "j", F.substring("line", F.lit(1), F.col("lo")), F.substring("line", F.col("n") - tail + 1, tail)).alias("c"))
+    cells = stash(cells)
+    met = cells.groupBy("c").agg(F.min("at").alias("a"), F.max("at").alias("b")).where("a <> b").select("c")
+    cells = cells.join(met, "c", "left_semi").select("at", "n", "m", "lo", "hi").distinct()
+    place = F.when(F.col("m") == F.col("n"), F.sequence(F.col("lo") + 1, F.greatest(F.col("hi"), F.col("lo") + 1))).otherwise(F.sequence(F.col("lo") + 1, F.col("hi") + 1))
+    cut = F.xxhash64(F.concat(F.substring("line", F.lit(1), F.col("p") - 1), F.substring("line", F.col("p") + 1, F.col("n"))))
+    variants = stash(cells.join(lines.select("at", "line"), "at").select("at", "line", "n", "m", F.explode(place).alias("p")).where("p <= n").select("at", "n", "m", "p", cut.alias("v")).distinct())
     # one substitution: equal without the same place; the group's earliest stands for all
-    place_key = F.xxhash64("n", "p", "v").alias("g")
-    groups = variants.select(place_key, "at").groupBy("g").agg(F.min("at").alias("a"), F.max("at").alias("b")).where("a <> b").select("g", "a")
-    swapped = variants.select(place_key, "at").join(groups, "g").where(F.col("a") < F.col("at")).select("at", "a")
+    same = variants.where("m = n").select("at", "n", "p", "v")
+    groups = same.groupBy("n", "p", "v").agg(F.min("at").alias("a"), F.max("at").alias("b")).where("a <> b").select("n", "p", "v", "a")
+    swapped = same.join(groups, ["n", "p", "v"]).where(F.col("a") < F.col("at")).select("at", "a")
     # one deletion: a whole line equals another's variant
-    wholes = lines.select(F.xxhash64("line").alias("v"), F.col("at").alias("w"), (F.col("n") + 1).alias("n"))
-    met = variants.select("at", "n", "v").distinct().join(wholes, ["n", "v"]).select("at", "w")
+    wholes = lines.select(F.xxhash64("line").alias("v"), F.col("at").alias("w"), F.col("n").alias("m"))
+    met = variants.where("m < n").select("at", "m", "v").distinct().join(wholes, ["m", "v"]).select("at", "w")
     shorter = met.groupBy("w").agg(F.min("at").alias("a")).where(F.col("a") < F.col("w")).select(F.col("w").alias("at"), "a")
     longer = met.where(F.col("w") < F.col("at")).select("at", F.col("w").alias("a"))
     pairs = stash(swapped.unionByName(shorter).unionByName(longer).distinct())
