@@ -35,8 +35,10 @@ from gleanery.llm.common import free_shuffles, mix, shingle_hashes, slices, stas
 from gleanery.llm.components import components
 
 #: A token's run with more documents than that goes into the matrix; others give their pairs at once.
-LONG_RUN = 32
+LONG_RUN = 3
 COUNTS = 256
+#: A count that has come so far may stand for more.
+TOP = 255
 
 
 def sets_of(column: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
@@ -71,15 +73,16 @@ def _frequent(docs: DataFrame, sample_docs: int, least: int) -> np.ndarray:
 
 
 def _scan(docs: DataFrame, frequent: np.ndarray, per_cent: int) -> DataFrame:
-    """k, n, f1, f2 (a set's identity), rare and common (the prefix in order, as packed hashes)."""
+    """k, n, f1, f2 (a set's identity), rare and common (the prefix in order, as packed hashes), counts (of tokens by hash, a byte each)."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, times = sent.value
         for batch in batches:
-            n, f1, f2, rare, common = [], [], [], [], []
+            n, f1, f2, rare, common, counts = [], [], [], [], [], []
             for s in sets_of(batch.column(1)):
                 n.append(len(s))
+                counts.append(np.minimum(np.bincount((s >> np.uint64(17)).astype(np.int64) & (COUNTS - 1), minlength=COUNTS), TOP).astype(np.uint8).tobytes())
                 f1.append(int(np.sum(mix(s), dtype=np.uint64).astype(np.int64)))
                 f2.append(int(np.sum(mix(s ^ np.uint64(0xA5A5A5A5DEADBEEF)), dtype=np.uint64).astype(np.int64)))
                 length = len(s) - needed(len(s), per_cent) + 1 if len(s) else 0
@@ -95,9 +98,9 @@ def _scan(docs: DataFrame, frequent: np.ndarray, per_cent: int) -> DataFrame:
                     common.append(s[own].tobytes())
                 else:
                     common.append(b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(rare, pa.binary()), pa.array(common, pa.binary())], names=["k", "n", "f1", "f2", "rare", "common"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(rare, pa.binary()), pa.array(common, pa.binary()), pa.array(counts, pa.binary())], names=["k", "n", "f1", "f2", "rare", "common", "counts"])
 
-    return docs.select("k", "t").mapInArrow(run, "k bigint, n int, f1 bigint, f2 bigint, rare binary, common binary")
+    return docs.select("k", "t").mapInArrow(run, "k bigint, n int, f1 bigint, f2 bigint, rare binary, common binary, counts binary")
 
 
 def _packed(classes: DataFrame, parts: int) -> DataFrame:
@@ -227,8 +230,20 @@ def _id_filter(wanted: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+def packed48(s: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash: within two documents that is as good as all 64, and a quarter less to move."""
+    return s.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def unpacked48(x: pa.Scalar) -> np.ndarray:
+    own = np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, 6)
+    out = np.zeros((len(own), 8), np.uint8)
+    out[:, 2:] = own
+    return out.view(np.uint64).ravel()
+
+
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """k, n, counts, tokens of at least the wanted documents (k); a scan without a shuffle."""
+    """k, tokens of at least the wanted documents (k); a scan without a shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast(_id_filter(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,10 +253,9 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for a in range(0, batch.num_rows, 1024):
                 rows = batch.slice(a, 1024)
                 own = list(sets_of(rows.column(1)))
-                counts = [np.minimum(np.bincount((s >> np.uint64(17)).astype(np.int64) & (COUNTS - 1), minlength=COUNTS), 65535).astype(np.uint16).tobytes() for s in own]
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in own], pa.int32()), pa.array(counts, pa.binary()), pa.array([s.tobytes() for s in own], pa.binary())], names=["k", "n", "counts", "tokens"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([packed48(s) for s in own], pa.binary())], names=["k", "tokens"])
 
-    return docs.where("k is not null").select("k", "t").mapInArrow(run, "k bigint, n int, counts binary, tokens binary")
+    return docs.where("k is not null").select("k", "t").mapInArrow(run, "k bigint, tokens binary")
 
 
 def _bounded(pairs: DataFrame, per_cent: int) -> DataFrame:
@@ -252,10 +266,10 @@ def _bounded(pairs: DataFrame, per_cent: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             na, nb = batch.column(2).to_numpy().astype(np.int64), batch.column(3).to_numpy().astype(np.int64)
-            ca, cb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, COUNTS) for c in (4, 5))
+            ca, cb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COUNTS) for c in (4, 5))
             # a count that is at its top may stand for more
             most = np.minimum(ca, cb).sum(axis=1, dtype=np.int64)
-            most[(np.minimum(ca, cb) == 65535).any(axis=1)] = np.iinfo(np.int64).max // 1000
+            most[(np.minimum(ca, cb) == TOP).any(axis=1)] = np.iinfo(np.int64).max // 1000
             most = np.minimum(most, np.minimum(na, nb))
             ok = pa.array(most * (100 + per_cent) >= per_cent * (na + nb))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
@@ -263,29 +277,33 @@ def _bounded(pairs: DataFrame, per_cent: int) -> DataFrame:
     return pairs.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(run, "a bigint, b bigint")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
-    """The candidates (a, b) that link."""
-    small = sets.select("k", "n", "counts")
-    pairs = pairs.join(small.select(F.col("k").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca")), "a")
-    pairs = pairs.join(small.select(F.col("k").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb")), "b")
+def _verified(pairs: DataFrame, counts: DataFrame, docs: DataFrame, per_cent: int) -> DataFrame:
+    """The candidates (a, b) that link. counts: k, n, counts of all classes; full sets are made of the documents of candidates that these leave."""
+    pairs = pairs.join(counts.select(F.col("k").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca")), "a")
+    pairs = pairs.join(counts.select(F.col("k").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb")), "b")
     pairs = stash(_bounded(pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * per_cent), per_cent))
+    free_shuffles(docs.sparkSession)
+    sets = stash(_full_sets(docs, pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k")))))
     pairs = pairs.join(sets.select(F.col("k").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("k").alias("b"), F.col("tokens").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = unpacked48(x), unpacked48(y)
                 both = np.concatenate([x, y])
                 both.sort()
                 shared = int((both[1:] == both[:-1]).sum())
                 ok.append(100 * shared >= per_cent * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_())), batch.column(1).filter(pa.array(ok, pa.bool_()))], names=["a", "b"])
 
-    return stash(pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint").distinct())
+    out = stash(pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint").distinct())
+    unstash(sets)
+    free_shuffles(docs.sparkSession)
+    return out
 
 
-def _opened(entries: DataFrame, groups: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+def _opened(entries: DataFrame, groups: DataFrame, counts: DataFrame, per_cent: int) -> DataFrame:
     """Candidates of the matrix (token, group): documents and the members of the groups that qualify for them."""
     e = entries.join(groups, entries["a"] == groups["id"], "left").select("a", "t", "n", "q", F.coalesce("component", "a").alias("g"))
     several = e.groupBy("t").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("t")
@@ -305,7 +323,7 @@ def _opened(entries: DataFrame, groups: DataFrame, sets: DataFrame, per_cent: in
         held: dict[int, tuple[int, np.ndarray]] = {}
         for batch in batches:
             for g, n, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                c = np.frombuffer(c.as_buffer(), np.uint16)
+                c = np.frombuffer(c.as_buffer(), np.uint8)
                 held[g] = (min(n, held[g][0]), np.maximum(c, held[g][1])) if g in held else (n, c)
             if len(held) > 20_000:
                 yield _unions(held)
@@ -314,11 +332,11 @@ def _opened(entries: DataFrame, groups: DataFrame, sets: DataFrame, per_cent: in
             yield _unions(held)
 
     members = stash(e.select("g", "a").distinct())
-    counted = members.join(sets.select(F.col("k").alias("a"), "n", "counts"), "a").select("g", "n", "counts")
+    counted = members.join(counts.select(F.col("k").alias("a"), "n", "counts"), "a").select("g", "n", "counts")
     partial = counted.mapInArrow(union, "g bigint, n int, counts binary")
     unions = partial.repartition("g").mapInArrow(union, "g bigint, n int, counts binary")
     # a group's rows are in one task, but may leave it in more than one row: any of them may qualify for those it stands for only
-    asked = ask.join(sets.select(F.col("k").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca")), "a").join(unions.select(F.col("g").alias("og"), F.col("n").alias("nb"), F.col("counts").alias("cb")), "og").select("a", F.col("og").alias("b"), "na", F.greatest("nb", F.ceil(F.col("na") * per_cent / 100)).cast("int").alias("nb"), "ca", "cb")
+    asked = ask.join(counts.select(F.col("k").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca")), "a").join(unions.select(F.col("g").alias("og"), F.col("n").alias("nb"), F.col("counts").alias("cb")), "og").select("a", F.col("og").alias("b"), "na", F.greatest("nb", F.ceil(F.col("na") * per_cent / 100)).cast("int").alias("nb"), "ca", "cb")
     opened = _bounded_groups(asked, per_cent).distinct()
     # of an opened group, the members that share a token with the query and whose places allow a link
     x = e.select("a", "t", "n", "q").join(opened.withColumnRenamed("b", "og"), "a")
@@ -339,10 +357,10 @@ def _bounded_groups(asked: DataFrame, per_cent: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             na, nb = batch.column(2).to_numpy().astype(np.int64), batch.column(3).to_numpy().astype(np.int64)
-            ca, cb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, COUNTS) for c in (4, 5))
+            ca, cb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COUNTS) for c in (4, 5))
             low = np.minimum(ca, cb)
             most = low.sum(axis=1, dtype=np.int64)
-            most[(low == 65535).any(axis=1)] = np.iinfo(np.int64).max // 1000
+            most[(low == TOP).any(axis=1)] = np.iinfo(np.int64).max // 1000
             ok = pa.array(np.minimum(most, na) * (100 + per_cent) >= per_cent * (na + nb))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
 
@@ -358,28 +376,25 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     scanned = stash(_scan(rows, frequent, per_cent))
     least = stash(scanned.where("n > 0 and k is not null").groupBy(*identity).agg(F.min("k").alias("class")))
     own = least.withColumnRenamed("class", "k")
-    classes = stash(scanned.join(own, ["k", *identity], "left_semi").select("k", "n", "rare", "common"))
+    classes = stash(scanned.join(own, ["k", *identity], "left_semi").select("k", "n", "rare", "common", "counts"))
     whole, scanned = scanned, stash(scanned.select("k", *identity))
     unstash(whole)
     free_shuffles(spark)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     found = stash(_runs(_packed(classes, parts), parts, per_cent))
     entries = stash(_entries(classes).unionByName(found.where("t is not null").select("a", "t", "n", "q")).distinct())
-    unstash(classes)
+    prefixes, classes = classes, stash(classes.select("k", "n", "counts"))
+    unstash(prefixes)
     free_shuffles(spark)
     central = entries.groupBy("t").agg(F.min_by("a", F.struct(F.col("q") / F.col("n"), "a")).alias("c"))
     stars = entries.join(central, "t").where("a <> c").select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b"))
     pairs = stash(found.where("b is not null").select("a", "b").unionByName(stars).distinct())
-    wanted = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).unionByName(entries.select(F.col("a").alias("k")))
-    sets = stash(_full_sets(rows, wanted))
-    links = _verified(pairs, sets, per_cent)
-    free_shuffles(spark)
+    links = _verified(pairs, classes, rows, per_cent)
     groups = components(links)
-    more = _verified(stash(_opened(entries, groups, sets, per_cent)), sets, per_cent)
+    more = stash(_opened(entries, groups, classes, per_cent).join(pairs, ["a", "b"], "left_anti"))
     if more.limit(1).count():
-        links = stash(links.unionByName(more).distinct())
+        links = stash(links.unionByName(_verified(more, classes, rows, per_cent)).distinct())
         groups = components(links)
-    unstash(sets)
     both = links.select("a").unionByName(links.select(F.col("b").alias("a")))
     per = both.groupBy(F.col("a").alias("class")).agg(F.count(F.lit(1)).alias("n_links"))
     known = least.join(groups, F.col("class") == F.col("id"), "left").join(per, "class", "left")
