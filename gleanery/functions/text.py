@@ -84,17 +84,23 @@ def token_estimate(n_words: Column) -> Column:
     return F.greatest(F.lit(1), F.bround(n_words * F.lit(1.33)).cast("int"))
 
 
-@F.pandas_udf("string")
-def nfc(text: pd.Series) -> pd.Series:
-    """Unicode NFC; Spark has no function for it."""
+def _nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
 
 
-@F.pandas_udf("string")
-def without_accents(text: pd.Series) -> pd.Series:
+def _plain(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFD", t).encode("ascii", "ignore").decode("ascii"))
 
 
+def nfc(text: Column) -> Column:
+    """Unicode NFC; Spark has no function for it."""
+    return F.pandas_udf(_nfc, "string")(text)
+
+
+def without_accents(text: Column) -> Column:
+    return F.pandas_udf(_plain, "string")(text)
+
+
 def normalised_query(text: Column, lowercase: bool = True, strip_accents: bool = False, max_length: int = 512, unicode: bool = True) -> Column:
     """NFC, accents off (optional), single spaces, lower case, cut to max_length at a space."""
     if unicode:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,8 +45,27 @@ def bin_index(x: Column, lo: Column, hi: Column, n: int) -> Column:
     return sum(((x >= lo + step * i).cast("int") for i in range(2, n)), (x >= lo + step).cast("int")) if n > 1 else F.lit(0)
 
 
-def hashed_embedding(tokens: Column, dims: int = 64) -> Column:
-    """A deterministic encoder: counts of tokens by the head of their MD5, as a unit vector. Stands in for a model; anything text -> array<double> can."""
-    bucket = F.transform(tokens, lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint"), F.lit(dims)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(bucket, lambda b: b == i)).cast("double"))
-    return unit(counts)
+_BUCKETS: dict[str, int] = {}
+
+
+def token_bucket(token: str, dims: int) -> int:
+    b = _BUCKETS.get(token)
+    if b is None:
+        if len(_BUCKETS) > 1_000_000:
+            _BUCKETS.clear()
+        b = _BUCKETS[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16)
+    return b % dims
+
+
+def _encode(text: pd.Series) -> pd.Series:
+    def one(t: str | None) -> np.ndarray:
+        words = re.findall("[a-z0-9]+", (t or "").lower())
+        v = np.bincount([token_bucket(w, 64) for w in words], minlength=64).astype(float) if words else np.zeros(64)
+        return v / np.sqrt(v @ v) if words else v
+
+    return text.map(one)
+
+
+def hashed_embedding(text: Column) -> Column:
+    """A deterministic encoder: counts of lexical tokens by the head of their MD5 in 64 buckets, as a unit vector. Stands in for a model; any text -> array<double> can take its place."""
+    return F.pandas_udf(_encode, "array<double>")(text)

@@ -62,7 +62,7 @@ def _ideal(k: int, binary: bool) -> Column:
 
 
 def _err(k: int) -> Column:
-    top = F.pow(F.lit(2.0), F.coalesce(F.element_at("gains", 1), F.lit(0.0)))
+    top = F.pow(F.lit(2.0), F.coalesce(F.get("gains", F.lit(0)), F.lit(0.0)))
     step = lambda a, h: F.struct((a["s"] + a["p"] * ((F.pow(F.lit(2.0), h["g"]) - 1) / top) / h["rank"]).alias("s"), (a["p"] * (1 - (F.pow(F.lit(2.0), h["g"]) - 1) / top)).alias("p"))
     return F.aggregate(_top(k), F.struct(F.lit(0.0).alias("s"), F.lit(1.0).alias("p")), step, lambda a: a["s"])
 

@@ -27,7 +27,10 @@ def dimension_stats(reference: DataFrame) -> DataFrame:
 def _arrays(stats: DataFrame, *names: str) -> DataFrame:
     """The one row of the statistics as arrays in the order of the dimensions."""
     s = F.sort_array(F.collect_list(F.struct("dim", *names)))
-    return stats.agg(s.alias("s")).select(*[F.transform("s", lambda x, n=n: x[n]).alias(f"__{n}") for n in names])
+    def pick(name: str) -> Column:
+        return F.transform("s", lambda x: x[name])
+
+    return stats.agg(s.alias("s")).select(*[pick(n).alias(f"__{n}") for n in names])
 
 
 def _mean(arr: Column) -> Column:
