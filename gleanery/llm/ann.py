@@ -200,9 +200,6 @@ def neighbour_graph(pts: DataFrame, n: int, n_neighbours: int = 32, n_reverse: i
         graph, fresh = after.select("p", "q", "s"), after
         graph._stash_path = after._stash_path
         free_shuffles(spark)
-        if __import__("os").environ.get("ANN_DEBUG"):
-            import time
-            print("ROUND", changed, total, time.time(), flush=True)
         if changed <= stop * total:
             break
     return graph

@@ -7,9 +7,10 @@ A document's set is that of its distinct shingles of five words (64-bit hashes).
 2. Tokens have one order: those not frequent first, then by hash. "Frequent" is what a bounded sample of documents repeats; it
    only orders, so any sample gives the same result. In a set of n tokens a partner shares at least o = ceil(0.8 n), so two
    partners share one of their first n - o + 1 tokens. Those prefixes are the rows of the matrix.
-3. Prefix tokens that are not frequent are exchanged in packed form, by hash, and runs of equal tokens give candidate pairs
-   (each document a group of one). Frequent tokens, and those with long runs, become entries (token, document). Of each of
-   these tokens one document is the centre (the one with the fewest rare tokens) and a candidate for all others.
+3. Prefix tokens that are not frequent are exchanged in packed form, by hash. A token of two or three documents gives their
+   pairs as candidates (each document a group of one). Other tokens of several documents, and the frequent ones, become entries
+   (token, document). Of each of these tokens one document is the centre (the one with the fewest rare tokens) and a candidate
+   for all others.
 4. Candidates are bounded first by 256 counts of tokens by hash (the intersection is at most the sum of the minima), then
    verified with the full sets. Verified links partition similar documents into groups: their components.
 5. The matrix of entries is then (token, group), with each group's union of tokens held as the greatest counts of its members.
