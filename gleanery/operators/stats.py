@@ -13,8 +13,8 @@ def paired(a: DataFrame, b: DataFrame, strict: bool = True) -> DataFrame:
     """metric, query_id, a, b: aligned by key; strict raises if either side has a query that the other lacks."""
     both = a.select("metric", "query_id", F.col("value").alias("a"), F.lit(1).alias("__a")).join(b.select("metric", "query_id", F.col("value").alias("b"), F.lit(1).alias("__b")), ["metric", "query_id"], "full")
     ok = F.col("__a").isNotNull() & F.col("__b").isNotNull()
-    if strict:
-        both = both.where(F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit("the systems' queries differ")).cast("boolean")))
+    if strict:  # in the projection: a filter would let the optimizer make this an inner join
+        return both.select("metric", "query_id", F.when(ok, F.col("a")).otherwise(F.raise_error(F.lit("the systems' queries differ")).cast("double")).alias("a"), "b")
     return both.where(ok).select("metric", "query_id", "a", "b")
 
 
@@ -146,7 +146,7 @@ def snapshots(before: DataFrame, after: DataFrame, k: int = 10) -> DataFrame:
     top = lambda df, name: df.where(F.col("rank") <= k).groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias(name))
     both = top(before, "b").join(top(after, "a"), "query_id", "full")
     ok = F.col("a").isNotNull() & F.col("b").isNotNull()
-    both = both.where(F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit("the snapshots' queries differ")).cast("boolean")))
+    both = both.select("query_id", "b", F.when(ok, F.col("a")).otherwise(F.raise_error(F.lit("the snapshots' queries differ")).cast(both.schema["b"].dataType)).alias("a"))
     union = F.size(F.array_union("a", "b"))
     return both.select("query_id", F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect("a", "b")) / union).alias("jaccard"), (~F.element_at("b", 1).eqNullSafe(F.element_at("a", 1))).alias("changed_top"), F.filter("b", lambda x: ~F.array_contains("a", x)).alias("dropped"), F.filter("a", lambda x: ~F.array_contains("b", x)).alias("added"))
 
