@@ -312,13 +312,14 @@ def _opened(entries: DataFrame, groups: DataFrame, counts: DataFrame, per_cent:
     if not e.limit(1).count():
         return e.select("a", F.col("a").alias("b"))
     rest = F.col("n") - F.col("q")
-    matrix = e.groupBy("t", "g").agg(F.max(rest).alias("most"), F.min("n").alias("least"), F.count(F.lit(1)).alias("members"))
-    size = e.select("g", "a").distinct().groupBy("g").agg(F.count(F.lit(1)).alias("size"))
-    matrix = matrix.join(size, "g")
-    q = e.join(size, "g").select("a", "t", "n", "q", "g", "size")
+    matrix = e.groupBy("t", "g").agg(F.max(rest).alias("most"), F.min("n").alias("least"))
+    size = e.select("g", "a").distinct().groupBy("g").agg(F.count(F.lit(1)).alias("size"), F.min("a").alias("sole"))
+    matrix = matrix.join(size.select("g", "size"), "g")
+    q = e.join(size.select("g", "size"), "g").select("a", "t", "n", "q", "g", "size")
     m = matrix.select("t", F.col("g").alias("og"), F.col("size").alias("osize"), "most", "least")
     ask = q.join(m, "t").where((F.struct("size", "g") < F.struct("osize", "og")) & (F.least(F.col("n") - F.col("q"), F.col("most")) * (100 + per_cent) >= per_cent * (F.col("n") + F.greatest(F.col("least"), F.ceil(F.col("n") * per_cent / 100)))))
-    ask = ask.select("a", "og").distinct()
+    held = stash(ask.where("osize > 1").select("a", "t", "n", "q", "og"))  # the tokens at which a group of several may open
+    ask = stash(ask.select("a", "og").distinct())
 
     def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[int, np.ndarray]] = {}
@@ -339,10 +340,13 @@ def _opened(entries: DataFrame, groups: DataFrame, counts: DataFrame, per_cent:
     # a group's rows are in one task, but may leave it in more than one row: any of them may qualify for those it stands for only
     asked = ask.join(counts.select(F.col("k").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca")), "a").join(unions.select(F.col("g").alias("og"), F.col("n").alias("nb"), F.col("counts").alias("cb")), "og").select("a", F.col("og").alias("b"), "na", F.greatest("nb", F.ceil(F.col("na") * per_cent / 100)).cast("int").alias("nb"), "ca", "cb")
     opened = _bounded_groups(asked, per_cent).distinct()
-    # of an opened group, the members that share a token with the query and whose places allow a link
-    x = e.select("a", "t", "n", "q").join(opened.withColumnRenamed("b", "og"), "a")
+    opened = stash(opened.withColumnRenamed("b", "og"))
+    one = opened.join(size.where("size = 1").select(F.col("g").alias("og"), F.col("sole").alias("b")), "og").select("a", "b")
+    # of a group of several, the members that share a token with the query and whose places allow a link
     y = e.select(F.col("a").alias("b"), "t", F.col("n").alias("on"), F.col("q").alias("oq"), F.col("g").alias("og"))
-    pairs = x.join(y, ["og", "t"]).where(F.least(F.col("n") - F.col("q"), F.col("on") - F.col("oq")) * (100 + per_cent) >= per_cent * (F.col("n") + F.col("on")))
+    x = held.join(opened, ["a", "og"], "left_semi")
+    many = x.join(y, ["og", "t"]).where(F.least(F.col("n") - F.col("q"), F.col("on") - F.col("oq")) * (100 + per_cent) >= per_cent * (F.col("n") + F.col("on"))).select("a", "b")
+    pairs = one.unionByName(many)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
