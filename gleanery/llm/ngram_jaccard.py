@@ -372,7 +372,7 @@ def _bounded_groups(asked: DataFrame, per_cent: int) -> DataFrame:
     return asked.mapInArrow(run, "a bigint, b bigint")
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", per_cent: int = 80, sample_docs: int = 4096, sample_least: int = 5) -> DataFrame:
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", per_cent: int = 80, sample_docs: int = 8192, sample_least: int = 3) -> DataFrame:
     """key, n_shingles, component_id of each row, and n_links: how many verified links its class has."""
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{key}`").cast("bigint").alias("k"), F.col(f"`{text}`").alias("t"))
