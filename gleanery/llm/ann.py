@@ -155,7 +155,7 @@ def _merged(edges: DataFrame, k: int) -> DataFrame:
     return top.select("p", "q", "s")
 
 
-def neighbour_graph(pts: DataFrame, n: int, n_neighbours: int = 32, n_reverse: int = 32, trees: int = 40, rounds: int = 8, take: int = 8, stop: float = 0.005, seed: int = 5) -> DataFrame:
+def neighbour_graph(pts: DataFrame, n: int, n_neighbours: int = 40, n_reverse: int = 40, trees: int = 40, rounds: int = 8, take: int = 8, stop: float = 0.005, seed: int = 5) -> DataFrame:
     """Edges p, q, s: each point's nearest, by NN-descent."""
     spark = pts.sparkSession
     codes = pts.select(F.col("p").alias("q"), "code")
@@ -205,7 +205,7 @@ def neighbour_graph(pts: DataFrame, n: int, n_neighbours: int = 32, n_reverse: i
     return graph
 
 
-def search(queries: DataFrame, pts: DataFrame, graph: DataFrame, ef: int = 96, rounds: int = 12) -> DataFrame:
+def search(queries: DataFrame, pts: DataFrame, graph: DataFrame, ef: int = 128, rounds: int = 12) -> DataFrame:
     """Pairs c (a query's own point), q (point found), s (cosine): greedy search from the query's own point, all queries side by side. The beam is kept by the codes' likeness; what is in it at the end is scored exactly."""
     spark = pts.sparkSession
     edges = stash(graph.select("p", "q").unionByName(graph.select(F.col("q").alias("p"), F.col("p").alias("q"))).distinct())
