@@ -58,8 +58,8 @@ def needed(n: np.ndarray | int, per_cent: int):
 
 
 def _frequent(docs: DataFrame, sample_docs: int, least: int) -> np.ndarray:
-    """Tokens in at least `least` of the sample_docs documents with the least hash of their id, and how many; bounded by the sample's tokens over `least`."""
-    sample = docs.orderBy(F.xxhash64("k"), "k").limit(sample_docs)
+    """Tokens in at least `least` documents of a sample of about sample_docs, and how many; bounded by the sample's tokens over `least`. The sample is drawn in the scan: texts are not moved."""
+    sample = docs.sample(min(1.0, sample_docs / max(1, docs.count())), seed=7)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
