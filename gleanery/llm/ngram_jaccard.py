@@ -59,7 +59,8 @@ def needed(n: np.ndarray | int, per_cent: int):
 
 def _frequent(docs: DataFrame, sample_docs: int, least: int) -> np.ndarray:
     """Tokens in at least `least` documents of a sample of about sample_docs, and how many; bounded by the sample's tokens over `least`. The sample is drawn in the scan: texts are not moved."""
-    sample = docs.sample(min(1.0, sample_docs / max(1, docs.count())), seed=7)
+    share = min(1.0, sample_docs / max(1, docs.count()))
+    sample = docs.where(F.shiftrightunsigned(F.xxhash64("k", "t"), 11) < F.lit(int(share * (1 << 53))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,6 +232,22 @@ def _id_filter(wanted: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+def _keep(batch: pa.RecordBatch, on: np.ndarray) -> pa.RecordBatch:
+    return batch.filter(pa.array(on[_bits(batch.column(0).to_numpy())].reshape(3, -1).all(axis=0)))
+
+
+def _wanted_counts(counts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows k, n, counts of at least the wanted documents (k); without a shuffle, so that a join moves only these."""
+    sent = counts.sparkSession.sparkContext.broadcast(_id_filter(wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on = np.unpackbits(sent.value).astype(bool)
+        for batch in batches:
+            yield _keep(batch, on)
+
+    return counts.select("k", "n", "counts").mapInArrow(run, "k bigint, n int, counts binary")
+
+
 def packed48(s: np.ndarray) -> bytes:
     """The upper 48 bits of each hash: within two documents that is as good as all 64, and a quarter less to move."""
     return s.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
@@ -250,7 +267,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         on = np.unpackbits(sent.value).astype(bool)
         for batch in batches:
-            batch = batch.filter(pa.array(on[_bits(batch.column(0).to_numpy())].reshape(3, -1).all(axis=0)))
+            batch = _keep(batch, on)
             for a in range(0, batch.num_rows, 1024):
                 rows = batch.slice(a, 1024)
                 own = list(sets_of(rows.column(1)))
@@ -280,6 +297,7 @@ def _bounded(pairs: DataFrame, per_cent: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, counts: DataFrame, docs: DataFrame, per_cent: int) -> DataFrame:
     """The candidates (a, b) that link. counts: k, n, counts of all classes; full sets are made of the documents of candidates that these leave."""
+    counts = _wanted_counts(counts, pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))))
     pairs = pairs.join(counts.select(F.col("k").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca")), "a")
     pairs = pairs.join(counts.select(F.col("k").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb")), "b")
     pairs = stash(_bounded(pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * per_cent), per_cent))
@@ -334,6 +352,7 @@ def _opened(entries: DataFrame, groups: DataFrame, counts: DataFrame, per_cent:
             yield _unions(held)
 
     members = stash(e.select("g", "a").distinct())
+    counts = _wanted_counts(counts, members.select(F.col("a").alias("k")))
     counted = members.join(counts.select(F.col("k").alias("a"), "n", "counts"), "a").select("g", "n", "counts")
     partial = counted.mapInArrow(union, "g bigint, n int, counts binary")
     unions = partial.repartition("g").mapInArrow(union, "g bigint, n int, counts binary")
