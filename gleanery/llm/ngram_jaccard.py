@@ -237,7 +237,7 @@ def _keep(batch: pa.RecordBatch, on: np.ndarray) -> pa.RecordBatch:
 
 
 def _wanted_counts(counts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows k, n, counts of at least the wanted documents (k); without a shuffle, so that a join moves only these."""
+    """Rows k, n, counts of at least the wanted documents (k); without a shuffle, so that a join moves only these. Written, so that the joins' stages run no second Python worker beside their own."""
     sent = counts.sparkSession.sparkContext.broadcast(_id_filter(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +245,7 @@ def _wanted_counts(counts: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             yield _keep(batch, on)
 
-    return counts.select("k", "n", "counts").mapInArrow(run, "k bigint, n int, counts binary")
+    return stash(counts.select("k", "n", "counts").mapInArrow(run, "k bigint, n int, counts binary"))
 
 
 def packed48(s: np.ndarray) -> bytes:
@@ -301,6 +301,7 @@ def _verified(pairs: DataFrame, counts: DataFrame, docs: DataFrame, per_cent: in
     pairs = pairs.join(counts.select(F.col("k").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca")), "a")
     pairs = pairs.join(counts.select(F.col("k").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb")), "b")
     pairs = stash(_bounded(pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * per_cent), per_cent))
+    unstash(counts)
     free_shuffles(docs.sparkSession)
     sets = stash(_full_sets(docs, pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k")))))
     pairs = pairs.join(sets.select(F.col("k").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("k").alias("b"), F.col("tokens").alias("tb")), "b")
@@ -360,6 +361,7 @@ def _opened(entries: DataFrame, groups: DataFrame, counts: DataFrame, per_cent:
     asked = ask.join(counts.select(F.col("k").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca")), "a").join(unions.select(F.col("g").alias("og"), F.col("n").alias("nb"), F.col("counts").alias("cb")), "og").select("a", F.col("og").alias("b"), "na", F.greatest("nb", F.ceil(F.col("na") * per_cent / 100)).cast("int").alias("nb"), "ca", "cb")
     opened = _bounded_groups(asked, per_cent).distinct()
     opened = stash(opened.withColumnRenamed("b", "og"))
+    unstash(counts)
     one = opened.join(size.where("size = 1").select(F.col("g").alias("og"), F.col("sole").alias("b")), "og").select("a", "b")
     # of a group of several, the members that share a token with the query and whose places allow a link
     y = e.select(F.col("a").alias("b"), "t", F.col("n").alias("on"), F.col("q").alias("oq"), F.col("g").alias("og"))
