@@ -38,6 +38,7 @@ from gleanery.llm.components import components
 #: A token's run with more documents than that goes into the matrix; others give their pairs at once.
 LONG_RUN = 3
 COUNTS = 256
+SAMPLE_ONE_IN = 16
 #: A count that has come so far may stand for more.
 TOP = 255
 
@@ -58,8 +59,11 @@ def needed(n: np.ndarray | int, per_cent: int):
 
 
 def _frequent(docs: DataFrame, sample_docs: int, least: int) -> np.ndarray:
-    """Tokens in at least `least` documents of a sample of about sample_docs, and how many; bounded by the sample's tokens over `least`. The sample is drawn in the scan: texts are not moved."""
-    share = min(1.0, sample_docs / max(1, docs.count()))
+    """Tokens in at least `least` documents of a sample, and how many; bounded by the sample's tokens over `least`. The sample is drawn in the scan: texts are not moved.
+
+    It has about sample_docs documents or one in SAMPLE_ONE_IN, whichever is more: runs of tokens that it misses stay short however many documents there are.
+    """
+    share = min(1.0, max(1 / SAMPLE_ONE_IN, sample_docs / max(1, docs.count())))
     sample = docs.where(F.shiftrightunsigned(F.xxhash64("k", "t"), 11) < F.lit(int(share * (1 << 53))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -398,6 +402,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{key}`").cast("bigint").alias("k"), F.col(f"`{text}`").alias("t"))
     frequent = _frequent(rows, sample_docs, sample_least)
+    free_shuffles(spark)
     identity = ["n", "f1", "f2"]
     scanned = stash(_scan(rows, frequent, per_cent))
     least = stash(scanned.where("n > 0 and k is not null").groupBy(*identity).agg(F.min("k").alias("class")))
