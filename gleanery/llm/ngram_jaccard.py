@@ -182,7 +182,9 @@ def _runs(packed: DataFrame, parts: int, per_cent: int) -> DataFrame:
                 c = p[a : a + 100_000]
                 none = pa.nulls(len(c), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c[:, 0]), pa.array(c[:, 1]), pa.nulls(len(c), pa.int64()), none, none], names=names)
-        for e in entries:
+        whole = np.concatenate(entries, axis=1) if entries else np.zeros((4, 0), np.int64)
+        for a in range(0, whole.shape[1], 100_000):
+            e = whole[:, a : a + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(e[0], kinds[0]), pa.nulls(e.shape[1], pa.int64()), pa.array(e[1], kinds[2]), pa.array(e[2].astype(np.int32)), pa.array(e[3].astype(np.int32))], names=names)
 
     return packed.repartition(parts, "part").mapInArrow(run, "a bigint, b bigint, t bigint, n int, q int")
