@@ -4,8 +4,8 @@ A document's set is that of its distinct shingles of five words (64-bit hashes).
 100 * |intersection| >= 80 * |union|; the result is each document's component. No link between different sets is lost.
 
 1. Equal sets are collapsed to their least id (two 64-bit sums identify a set), so copies cost one row each.
-2. Tokens have one order: those not frequent first, then by hash. "Frequent" is what a bounded sample of documents repeats; it
-   only orders, so any sample gives the same result. In a set of n tokens a partner shares at least o = ceil(0.8 n), so two
+2. Tokens have one order: those not frequent first, then by hash. "Frequent" is what a sample of documents (one in 16, 8,192 at
+   least) repeats; it only orders, so any sample gives the same components. In a set of n tokens a partner shares at least o = ceil(0.8 n), so two
    partners share one of their first n - o + 1 tokens. Those prefixes are the rows of the matrix.
 3. Prefix tokens that are not frequent are exchanged in packed form, by hash. A token of two or three documents gives their
    pairs as candidates (each document a group of one). Other tokens of several documents, and the frequent ones, become entries
@@ -400,7 +400,7 @@ def _bounded_groups(asked: DataFrame, per_cent: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", per_cent: int = 80, sample_docs: int = 8192, sample_least: int = 3) -> DataFrame:
-    """key, n_shingles, component_id of each row, and n_links: how many verified links its class has."""
+    """key, n_shingles, component_id of each row, and n_links: how many verified links its class has (of a group's links those that were candidates, a lower bound)."""
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{key}`").cast("bigint").alias("k"), F.col(f"`{text}`").alias("t"))
     frequent = _frequent(rows, sample_docs, sample_least)
