@@ -72,7 +72,7 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleanery.llm.line_dedup import without_repeated_lines
 
-    return without_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return without_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), exact_chars=1)
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -322,6 +322,36 @@ def test_line_dedup(spark):
     assert line_dedup.without_repeated_lines(docs.where("doc_id < 0")).count() == 0
 
 
+def test_short_repeated_lines_go(spark):
+    docs = table(spark, ["Les.\nA line of its own that stays\n\n  ", "Les.\nLos.\n\n  ", "Les.", None])
+    got = [(r["text"], r["n_exact"], r["n_near"]) for r in line_dedup.without_repeated_lines(docs, exact_chars=1).orderBy("doc_id").collect()]
+    assert got == [(docs.where("doc_id = 0").first()["text"], 0, 0), ("Los.\n\n  ", 1, 0), ("", 1, 0), (None, 0, 0)]
+
+
+def test_lines_two_edits_apart(spark):
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abcde") for _ in range(n)) for n in (20, 23, 30)]
+    lines = list(base)
+    for _ in range(45):
+        x = list(rng.choice(base))
+        for _ in range(rng.choice([1, 2, 3, 4])):
+            i, kind = rng.randrange(len(x)), rng.randrange(3)
+            x[i : i + (kind != 1)] = [] if kind == 2 else [rng.choice("abcdex")]
+        lines.append("".join(x))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        return row[-1]
+
+    want = {(i, lines[i] not in lines[:i]) for i in range(len(lines)) if len(lines[i]) >= 20 and any(len(x) >= 20 and distance(lines[i], x) <= 2 for x in lines[:i])}
+    got = {(r["doc_id"], r["near"]) for r in line_dedup.repeated_lines(table(spark, lines), max_edits=2).collect()}
+    assert got == want and any(near for _, near in want)
+
+
 # ---- 10 ----
 
 
