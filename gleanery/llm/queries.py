@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import table
+from gleanery.llm.common import stash, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -52,8 +52,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleanery.llm.packing import packed
+    from gleanery.llm.token_counts import counted
 
-    return packed(table(spark, sf_dir, "documents"))
+    docs = stash(counted(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")))
+    return packed(docs, tokens=F.col("n_tokens"))
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,9 +66,10 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleanery.llm.mixing import mixture
+    from gleanery.llm.token_counts import counted
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixture(docs).drop("text")
+    docs = stash(counted(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), keep=("doc_id", "source")))
+    return mixture(docs, tokens=F.col("n_tokens")).drop("n_tokens")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

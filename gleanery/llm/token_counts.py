@@ -167,3 +167,16 @@ def token_counts(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_())], names=[key, "n_bytes", "n_tokens", "over_limit"])
 
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+
+
+def counted(docs: DataFrame, tokenizer: str, name: str = "n_tokens", text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns keep of each row and, as name, the number of tokens of its text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = counter(tokenizer)
+        for batch in batches:
+            n = pa.array([c.count(v.as_py()) for v in batch.column(len(keep))], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], n], names=[*keep, name])
+
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text")).mapInArrow(run, f"{schema}, `{name}` bigint")

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gleanery.llm import ann, components, fingerprints, html_text, language_id, line_dedup, mixing, ngram_jaccard, packing, token_counts, warc
+from gleanery.llm import ann, components, fingerprints, html_text, language_id, line_dedup, mixing, ngram_jaccard, packing, queries, token_counts, warc
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, n_tokens string, k int, t string, score string"
 
@@ -201,6 +201,18 @@ def test_packing(spark):
     assert packing.packed(docs.where("doc_id < 0")).count() == 0
 
 
+def test_packing_and_mixture_count_tokens(spark, tmp_path):
+    P = pytest.importorskip("public_tokenizers")
+    c = token_counts.counter(P.path("word_bpe_49k.json"))
+    texts = [None, "", "Hello World's unbelievably", "xq7" * 9000, "a few words", "a few words"]
+    table(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: c.count(t) for i, t in enumerate(texts)}
+    assert want[3] > 8192
+    pieces = queries.QUERIES["op6_best_fit_packing"](spark, str(tmp_path)).collect()
+    assert {i: sum(r["n_tokens"] for r in pieces if r["doc_id"] == i) for i in want} == want and max(r["n_tokens"] for r in pieces) == 8192
+    assert {r["doc_id"]: r["mix_n_tokens"] for r in queries.QUERIES["op8_source_mixing"](spark, str(tmp_path)).collect()} == want
+
+
 def test_packing_fills_bins():
     lengths = sorted(np.random.default_rng(5).integers(1, 3000, 3000).tolist(), reverse=True)
     _, _, sizes = packing.pack(lengths, packing.CAPACITIES, 16)
