@@ -12,7 +12,7 @@ few lists change.
 
 Searching: a query, being a row of the table, starts at its own point; each round expands the best ef points found and not
 yet expanded, along edges in both directions, joins the neighbours with their codes, and keeps the best ef. It ends when no query
-has anything to expand; what it has then is scored by exact cosine in double precision. All members of the points found are candidates in the end, so
+has anything to expand, unless a number of rounds is given; what it has then is scored by exact cosine in double precision. All members of the points found are candidates in the end, so
 copies are not lost.
 
 Cases: null vectors and others without direction are left out as candidates and as queries. Vectors of different lengths are
@@ -22,6 +22,7 @@ all that are reached are returned. An empty table gives none. Columns other than
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -205,7 +206,7 @@ def neighbour_graph(pts: DataFrame, n: int, n_neighbours: int = 40, n_reverse: i
     return graph
 
 
-def search(queries: DataFrame, pts: DataFrame, graph: DataFrame, ef: int = 128, rounds: int = 12) -> DataFrame:
+def search(queries: DataFrame, pts: DataFrame, graph: DataFrame, ef: int = 128, rounds: int | None = None) -> DataFrame:
     """Pairs c (a query's own point), q (point found), s (cosine): greedy search from the query's own point, all queries side by side. The beam is kept by the codes' likeness; what is in it at the end is scored exactly."""
     spark = pts.sparkSession
     edges = stash(graph.select("p", "q").unionByName(graph.select(F.col("q").alias("p"), F.col("p").alias("q"))).distinct())
@@ -229,7 +230,7 @@ def search(queries: DataFrame, pts: DataFrame, graph: DataFrame, ef: int = 128,
     # beam: the best ef of each query; seen: all that were ever compared
     beam = asked.select("c", F.col("c").alias("q"), F.lit(None).cast("double").alias("s"), F.lit(False).alias("done"))
     seen = None
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         step = beam.where(~F.col("done")).join(edges.withColumnRenamed("q", "to"), beam["q"] == edges["p"]).select("c", F.col("to").alias("q")).where("q <> c").distinct()
         if seen is not None:
             step = step.join(seen, ["c", "q"], "left_anti")

@@ -137,6 +137,14 @@ def test_nearest_neighbours(spark):
     assert ann.nearest(few, few, 5).count() == 6 and ann.nearest(df.where("vec_id = 901"), df.where("vec_id = 901"), 5).count() == 0
 
 
+def test_search_ends_only_when_nothing_is_left(spark):
+    rows = [(i, [float(np.cos(i / 20)), float(np.sin(i / 20))]) for i in range(17)]
+    pts, _ = ann.points(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", 1)
+    chain = spark.createDataFrame([(i, i + 1, 0.0) for i in range(16)], "p long, q long, s float")
+    found = ann.search(spark.createDataFrame([(0,)], "c long"), ann.stash(pts), chain).collect()
+    assert {r["q"] for r in found} == set(range(1, 17))
+
+
 # ---- 5 ----
 
 
