@@ -277,4 +277,4 @@ def loo_explain(spark, sf):
 
 @query()
 def span_explain(spark, sf):
-    return S.document_attributions(explained_pairs(spark, sf).select("query_id", "doc_id", "query", F.col("query").alias("text")), hash_encoder, 5)
+    return S.document_attributions(explained_pairs(spark, sf), hash_encoder, 5)

@@ -109,3 +109,15 @@ def test_snapshots(spark):
     df = lambda ids: spark.createDataFrame([("q", d, i) for i, d in enumerate(ids, 1)], "query_id string, doc_id string, rank int")
     r = ST.snapshots(df(["d1", "d2", "d3"]), df(["d2", "d3", "d4"]), 3).first()
     assert (r["jaccard"], r["dropped"], r["added"], r["changed_top"]) == (0.5, ["d1"], ["d4"], True)
+
+
+def test_span_explain_covers_the_documents(spark):
+    from pyspark.sql import functions as F
+
+    from gleanery.functions import text as T
+    from gleanery.plans import retrieval
+
+    sf = "/root/testdata/sf0.001"
+    want = {(r["query_id"], r["doc_id"]): r["n"] for r in retrieval.explained_pairs(spark, sf).select("query_id", "doc_id", F.size(T.explain_tokens(F.col("text"))).alias("n")).collect()}
+    got = {(r["query_id"], r["doc_id"]): r["n"] for r in retrieval.span_explain(spark, sf).groupBy("query_id", "doc_id").agg(F.max("end").alias("n")).collect()}
+    assert want and got == want
