@@ -150,8 +150,8 @@ def paired_bootstrap(spark, sf):
 
 @query()
 def ab_compare(spark, sf):
-    a, b = (m.where("metric in ('trec_rr', 'trec_ap')").select("metric", "query_id", "value") for m in two_metrics(spark, sf))
-    return ST.compare_systems(a, b, resamples=200)
+    a, b = (m.select(F.concat_ws("@", "metric", F.col("k").cast("string")).alias("metric"), "query_id", "value") for m in two_metrics(spark, sf))
+    return ST.compare_systems(a, b)
 
 
 SNAP = f"{TWO}, la AS (SELECT query_id, list(doc_id ORDER BY rank) AS b FROM ra WHERE rank <= 10 GROUP BY 1), lb AS (SELECT query_id, list(doc_id ORDER BY rank) AS a FROM rb WHERE rank <= 10 GROUP BY 1), s AS (SELECT query_id, len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) AS jaccard, a[1] <> b[1] AS changed_top, array_to_string(list_filter(b, lambda x: NOT list_contains(a, x)), ',') AS dropped, array_to_string(list_filter(a, lambda x: NOT list_contains(b, x)), ',') AS added FROM la JOIN lb USING (query_id))"

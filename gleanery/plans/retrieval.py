@@ -245,7 +245,7 @@ def centroid_docs(spark, sf):
 
 @query()
 def kmeans_fit(spark, sf):
-    labels, _, inertia = S.kmeans(vectors(spark, sf), 8, n_init=2, max_iter=20)
+    labels, _, inertia = S.kmeans(vectors(spark, sf), 8)
     return labels.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size")).withColumn("inertia", F.lit(float(inertia)))
 
 

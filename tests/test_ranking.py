@@ -121,3 +121,17 @@ def test_span_explain_covers_the_documents(spark):
     want = {(r["query_id"], r["doc_id"]): r["n"] for r in retrieval.explained_pairs(spark, sf).select("query_id", "doc_id", F.size(T.explain_tokens(F.col("text"))).alias("n")).collect()}
     got = {(r["query_id"], r["doc_id"]): r["n"] for r in retrieval.span_explain(spark, sf).groupBy("query_id", "doc_id").agg(F.max("end").alias("n")).collect()}
     assert want and got == want
+
+
+def test_registered_over_the_whole_job(spark, monkeypatch):
+    from gleanery.plans import evaluation, retrieval
+
+    sf, asked = "/root/testdata/sf0.001", []
+    monkeypatch.setattr(evaluation.ST, "compare_systems", lambda a, b, **kw: asked.append((a.select("metric").distinct().count(), kw)))
+    evaluation.ab_compare(spark, sf)
+    n = evaluation.two_metrics(spark, sf)[0].select("metric", "k").distinct().count()
+    assert n > 2 and asked == [(n, {})]
+    fit = S.kmeans
+    monkeypatch.setattr(retrieval.S, "kmeans", lambda *args, **kw: asked.append(kw) or fit(*args, n_init=1, max_iter=1))
+    retrieval.kmeans_fit(spark, sf)
+    assert asked[1] == {}
