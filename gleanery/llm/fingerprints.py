@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import SLICE_BYTES, mix, shingle_hashes, slices
+from gleanery.llm.common import SLICE_BYTES, mix, shingle_runs, small_batches
 
 #: Rows that the kernels take at once, besides SLICE_BYTES: bounds the bins in memory.
 SLICE_ROWS = 1024
@@ -37,16 +37,19 @@ class Fingerprinter:
     def bins(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(rows x n_bins low bits, whether a row has any shingle)."""
         low, full = [], []
-        for _, _, data, offs in slices(texts):
-            h, row, _ = shingle_hashes(data, offs, self.width)
-            n = len(offs) - 1
-            least = np.full(n * self.n_bins, _NONE, np.uint64)
-            shift = np.uint64(64 - self.n_bins.bit_length() + 1)
+        shift = np.uint64(64 - self.n_bins.bit_length() + 1)
+        least = None
+        for a, b, h, row, more in shingle_runs(texts, self.width):
+            if least is None:
+                least = np.full((b - a) * self.n_bins, _NONE, np.uint64)
             np.minimum.at(least, row * self.n_bins + (h >> shift).astype(np.int64), h)
-            least = least.reshape(n, self.n_bins)
-            has = (least != _NONE).any(axis=1)
-            low.append((self._densified(least, has) & np.uint64((1 << self.n_bits) - 1)).astype(np.uint8))
+            if more:
+                continue
+            bins = least.reshape(b - a, self.n_bins)
+            has = (bins != _NONE).any(axis=1)
+            low.append((self._densified(bins, has) & np.uint64((1 << self.n_bits) - 1)).astype(np.uint8))
             full.append(has)
+            least = None
         if not low:
             return np.zeros((0, self.n_bins), np.uint8), np.zeros(0, bool)
         return np.concatenate(low), np.concatenate(full)
@@ -79,6 +82,7 @@ class Fingerprinter:
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", n_bins: int = 256, n_bits: int = 4) -> DataFrame:
     """key, fingerprint of each row: one pass, no shuffle."""
+    small_batches(docs.sparkSession)
     maker = Fingerprinter(n_bins, n_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,6 +127,7 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
 def edit_report(docs: DataFrame, key: str = "doc_id", text: str = "text", n_bins: int = 256, n_bits: int = 4) -> DataFrame:
     """Each row's fingerprint, and that of its text with the last half replaced by the next row's beginning, with their likenesses."""
+    small_batches(docs.sparkSession)
     maker = Fingerprinter(n_bins, n_bits)
     kind = docs.schema[key].dataType.simpleString()
     names = [key, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]

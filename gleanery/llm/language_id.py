@@ -1,7 +1,6 @@
 """Language identification by a linear-chain conditional random field over the words of a text.
 
-Each word has features: its prefixes and suffixes of up to three letters, its letter bigrams and trigrams, and itself (the
-lexicon). They are hashed to one table of weights for each language. Transitions between the languages of neighbouring words
+Each word has features: its prefixes and suffixes of up to three letters, its letter trigrams, and itself (the lexicon). They are hashed to one table of weights for each language. Transitions between the languages of neighbouring words
 are learned with them, so that forward-backward gives each word a distribution over languages that rests on its context: text
 that switches language is labelled word by word. A text's language is the one with the greatest sum of its words' marginals;
 its score is that sum over the number of words.
@@ -10,17 +9,20 @@ Training maximises the likelihood of label sequences by stochastic gradients. La
 training sequence is put together from a few windows of sample texts, each window with the label of its text; that is where
 transitions are learned from. The sample is bounded: at most sample_texts texts a language, those with the least hash of their
 key, and of each at most sample_words words in windows spread over the whole text. Only this sample reaches the driver, and the
-model (features x languages) is sent to the workers. All words of all texts are used in prediction.
+model (features x languages) is sent to the workers. All words of all texts are used in prediction. A run of more than RUN letters
+is cut into words of RUN: scripts without spaces have positions too, and a switch of language inside a run can be seen.
 
-Cases: text that is null or has no letter is `und` with score 0. Texts of any length are labelled whole, in windows of words
+The winning share says which language is likelier, not whether the text is in any: beside it, `known` is the share of a text's
+letter trigrams that the learning texts have, 0 for another script, low for letters at random.
+
+Cases: text that is null or has no letter (combining marks are none) is `und` with score and known 0. Texts of any length are labelled whole, in windows of words
 that overlap, so memory stays bounded. Null labels are not learned from. Without any labelled
-text, every text is `und`. Ties go to the language first in order. Repeated rows get equal results. Columns other than those
+text, every text is `und`. Ties go to the language first in order. Repeated rows get equal results, and count once in learning. Columns other than those
 named are not read.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,66 +31,81 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-WORD = regex.compile(r"[\p{L}\p{M}]+")
+from gleanery.llm.common import mix, small_batches
+
+#: The longest word; longer runs of letters are several words.
+RUN = 32
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]{0,%d}" % (RUN - 1))
 UNKNOWN = "und"
 #: Words memoised by a Python worker; at this number the memo starts anew. Bounds memory, not results.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 100_000
 #: Words that forward-backward takes at once, over all texts of a block.
-BLOCK_WORDS = 400_000
+BLOCK_WORDS = 120_000
 #: A text is run in windows of so many words, each with so many of context on either side that aren't counted; messages over
 #: that distance have forgotten their start to far below a float's precision, unless words carry no evidence at all.
 WINDOW, CONTEXT = 512, 32
 
 
-def features(word: str) -> list[str]:
-    """Affixes, letter trigrams and the word itself, of a lower-case word."""
-    names = [word, "<" + word[:1], "<" + word[:2], "<" + word[:3], ">" + word[-1:], ">" + word[-2:], ">" + word[-3:]]
-    if len(word) > 32:  # of a run of letters that long, the ends tell as much as the whole
-        word = word[:16] + word[-16:]
-    pad = f"^{word}$"
-    return names + [pad[i : i + 3] for i in range(len(pad) - 2)]
+_RNG = np.random.Generator(np.random.PCG64(20240102))
+_LETTER = _RNG.integers(1, 1 << 63, RUN, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_KIND = _RNG.integers(1, 1 << 63, 8, dtype=np.uint64)
 
 
-def place(feature: str, size: int) -> int:
-    return zlib.crc32(feature.encode()) & (size - 1)
+def hashed(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of lower-case words' features: (the word itself, its prefixes and its suffixes of 1 to 3 letters, in a row each; trigrams with the word's ends, one word after another; letters of each word)."""
+    size = np.array([len(w) for w in words])
+    u = np.array(words, dtype=f"U{RUN}").view(np.uint32).reshape(len(words), RUN).astype(np.uint64)
+    row, place = np.arange(len(words)), np.arange(RUN)
+    with np.errstate(over="ignore"):
+        heads = [(u * _LETTER).sum(axis=1, dtype=np.uint64) + _KIND[0]]
+        front, back = np.zeros(len(words), np.uint64), np.zeros(len(words), np.uint64)
+        for k in range(3):
+            front = front + u[:, k] * _LETTER[k]
+            back = back + np.where(size > k, u[row, np.maximum(size - 1 - k, 0)], np.uint64(0)) * _LETTER[k]
+            heads += [front + _KIND[1 + k], back + _KIND[4 + k]]
+        c = np.zeros((len(words), RUN + 2), np.uint64)
+        c[:, 0], c[:, 1:-1] = ord("^"), u
+        c[row, size + 1] = ord("$")
+        tri = (c[:, :-2] * _LETTER[0] + c[:, 1:-1] * _LETTER[1] + c[:, 2:] * _LETTER[2] + _KIND[7])[place < size[:, None]]
+    return mix(np.column_stack(heads)), mix(tri), size
 
 
 class Crf:
-    """weights: features x languages; start: languages; trans: from x to."""
+    """weights: features x languages; start: languages; trans: from x to; seen: hashed trigrams of the learning texts."""
+
+    SEEN = 1 << 21
 
     def __init__(self, langs: list[str], size: int = 1 << 17):
         self.langs, self.size = langs, size
         n = len(langs)
         self.weights, self.start, self.trans = np.zeros((size, n), np.float32), np.zeros(n), np.zeros((n, n))
+        self.seen = np.zeros(self.SEEN, bool)
         self._forget()
 
     def _forget(self) -> None:
         self.rows: dict[str, int] = {}
-        self.table = np.zeros((0, len(self.langs)))
-        self.places: dict[str, int] = {}
+        self.table = np.zeros((0, len(self.langs) + 1))
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"rows": {}, "table": np.zeros((0, len(self.langs))), "places": {}}
+        return self.__dict__ | {"rows": {}, "table": np.zeros((0, len(self.langs) + 1)), "seen": np.packbits(self.seen)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state | {"seen": np.unpackbits(state["seen"]).astype(bool)})
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        """Each word's score for each language."""
-        if len(self.rows) > MEMO_WORDS or len(self.places) > 4 * MEMO_WORDS:
+        """Each word's score for each language, and the share of its trigrams that are known."""
+        if len(self.rows) > MEMO_WORDS:
             self._forget()
         rows = self.rows
         if new := list(set(words).difference(rows)):
-            places, size, flat, count = self.places, self.size, [], []
-            for w in new:
-                own = features(w)
-                for f in own:
-                    at = places.get(f)
-                    if at is None:
-                        at = place(f, size)
-                        if len(f) <= 4:
-                            places[f] = at
-                    flat.append(at)
-                count.append(len(own))
-            start = np.concatenate([[0], np.cumsum(count)[:-1]])
-            self.table = np.concatenate([self.table, np.add.reduceat(self.weights[flat].astype(np.float64), start, axis=0)])
+            parts = [self.table]
+            for a in range(0, len(new), 16384):
+                heads, tri, size = hashed(new[a : a + 16384])
+                start = np.cumsum(size) - size
+                score = self.weights[heads & np.uint64(self.size - 1)].sum(axis=1, dtype=np.float64) + np.add.reduceat(self.weights[tri & np.uint64(self.size - 1)].astype(np.float64), start, axis=0)
+                known = np.add.reduceat(self.seen[tri & np.uint64(self.SEEN - 1)].astype(np.float64), start) / size
+                parts.append(np.column_stack([score, known]))
+            self.table = np.concatenate(parts)
             rows.update(zip(new, range(len(rows), len(rows) + len(new))))
         return self.table[np.fromiter(map(rows.__getitem__, words), np.int64, len(words))]
 
@@ -97,11 +114,11 @@ class Crf:
     def fit(self, sequences: list[tuple[list[str], list[int]]], epochs: int = 4, rate: float = 0.3, decay: float = 1e-6, seed: int = 7) -> Crf:
         """Adagrad on the log likelihood, sequence by sequence; the best-known way to a sharp model in few passes."""
         rng = np.random.Generator(np.random.PCG64(seed))
-        memo: dict[str, np.ndarray] = {}
-        for words, _ in sequences:
-            for w in words:
-                if w not in memo:
-                    memo[w] = np.array([place(f, self.size) for f in features(w)])
+        every = sorted({w for words, _ in sequences for w in words})
+        heads, tri, size = hashed(every)
+        cut = np.cumsum(size)
+        memo = {w: (np.concatenate([heads[i], tri[cut[i] - size[i] : cut[i]]]) & np.uint64(self.size - 1)).astype(np.int64) for i, w in enumerate(every)}
+        self.seen[tri & np.uint64(self.SEEN - 1)] = True
         n = len(self.langs)
         seen_w, seen_t, seen_s = np.full(self.weights.shape, 1e-2, np.float32), np.full((n, n), 1e-2), np.full(n, 1e-2)
         for _ in range(epochs):
@@ -135,12 +152,12 @@ class Crf:
     # -- prediction --
 
     def label(self, text: str) -> list[tuple[str, np.ndarray]]:
-        """Each word of a text with its distribution over the languages."""
-        words = WORD.findall(text)
-        return list(zip(words, marginals(self.emissions([w.lower() for w in words]), self.start, self.trans))) if words else []
+        """Each word of a text, in lower case, with its distribution over the languages."""
+        words = WORD.findall(text.lower())
+        return list(zip(words, marginals(self.emissions(words)[:, :-1], self.start, self.trans))) if words else []
 
     def texts(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        """The sums of each text's words' marginals; None for a text without letters."""
+        """The sums of each text's words' marginals and, last, of their known shares; None for a text without letters."""
         words: list[str] = []
         spans, owner = [], []
         out: list[np.ndarray | None] = [None] * len(texts)
@@ -149,7 +166,10 @@ class Crf:
             if not words:
                 return
             e = self.emissions(words)
-            for k, s in zip(owner, self.shares(e, np.array(spans))):
+            own = np.array(spans)
+            total = np.concatenate([[0.0], np.cumsum(e[:, -1])])
+            known = total[own[:, 0] + own[:, 3]] - total[own[:, 0] + own[:, 2]]
+            for k, s in zip(owner, np.column_stack([self.shares(e[:, :-1], own), known])):
                 out[k] = s if out[k] is None else out[k] + s
             words.clear(), spans.clear(), owner.clear()
 
@@ -200,11 +220,14 @@ class Crf:
 
 
 def pieces(text: str, size: int = 1 << 20) -> Iterator[str]:
-    """Of a very long text, pieces that end before a space."""
-    while len(text) > size and (cut := text.find(" ", size)) > 0:
-        yield text[:cut]
-        text = text[cut:]
-    yield text
+    """Of a very long text, pieces that end before a space; where none comes in time, anywhere."""
+    at = 0
+    while len(text) - at > 2 * size:
+        cut = text.find(" ", at + size, at + 2 * size)
+        cut = cut if cut > 0 else at + 2 * size
+        yield text[at:cut]
+        at = cut
+    yield text[at:] if at else text
 
 
 def marginals(e: np.ndarray, start: np.ndarray, trans: np.ndarray, pairs: bool = False):
@@ -253,17 +276,22 @@ def spliced(sample: list[tuple[str, str]], langs: list[str], seed: int = 11) ->
 
 def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_texts: int = 150, sample_words: int = 400, epochs: int = 3) -> Crf | None:
     """The model of labelled rows; None if there are none. At most sample_texts texts of each language, and of each windows of about sample_words words, reach the driver."""
+    small_batches(labelled.sparkSession)
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(lang).alias("l"), F.col(text).alias("t"))
-    w = Window.partitionBy("l").orderBy("h", "k")
-    picked = rows.select("k", "l").withColumn("h", F.xxhash64("k")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= sample_texts).select("k").distinct()
+    rows = rows.withColumn("h", F.xxhash64(F.coalesce("k", F.lit("")), "t"))
+    # a few times sample_texts rows a language, by hash, before any are put in order: so many for each language, not for each task
+    counts = rows.groupBy("l").agg((F.lit(8.0 * sample_texts) / F.count(F.lit(1))).alias("share"))
+    drawn = rows.select("l", "h").join(counts, "l").where(F.shiftrightunsigned(F.xxhash64("h"), 11) < F.col("share") * F.lit(float(1 << 53))).select("l", "h").distinct()
+    w = Window.partitionBy("l").orderBy("h")
+    picked = drawn.withColumn("r", F.row_number().over(w)).where(F.col("r") <= sample_texts).select("l", "h")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [(lang.as_py(), x) for lang, t in zip(batch.column(0), batch.column(1)) for x in windows(t.as_py(), sample_words)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in own], pa.string()) for i in (0, 1)], names=["l", "t"])
+            own = [(lang.as_py(), x, h.as_py(), i) for lang, t, h in zip(*(batch.column(c) for c in range(3))) for i, x in enumerate(windows(t.as_py(), sample_words))]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in own], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["l", "t", "h", "i"])
 
-    # picked has at most sample_texts rows a language
-    sample = rows.join(F.broadcast(picked), "k", "left_semi").select("l", "t").mapInArrow(cut, "l string, t string").collect()
+    # picked has at most sample_texts rows a language; a row that repeats counts once
+    sample = rows.join(F.broadcast(picked), ["l", "h"], "left_semi").select("l", "t", "h").mapInArrow(cut, "l string, t string, h bigint, i bigint").distinct().collect()
     if not sample:
         return None
     langs = sorted({r["l"] for r in sample})
@@ -271,7 +299,8 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
 
 
 def predict(docs: DataFrame, model: Crf | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns keep, lang_pred and score of each row. One pass, no shuffle."""
+    """The columns keep, lang_pred, score and known of each row. One pass, no shuffle."""
+    small_batches(docs.sparkSession)
     chosen = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
@@ -279,12 +308,14 @@ def predict(docs: DataFrame, model: Crf | None, text: str = "text", keep: tuple[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = sent.value
         for batch in batches:
-            lang, score = [], []
+            lang, score, known = [], [], []
             column = batch.column(len(keep))
             for s in crf.texts([v.as_py() for v in column]) if crf else [None] * len(column):
-                best = 0 if s is None else int(np.argmax(s))
+                words = 0.0 if s is None else s[:-1].sum()
+                best = 0 if s is None else int(np.argmax(s[:-1]))
                 lang.append(UNKNOWN if s is None else crf.langs[best])
-                score.append(0.0 if s is None else float(min(1.0, s[best] / s.sum())))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
+                score.append(0.0 if s is None else float(min(1.0, s[best] / words)))
+                known.append(0.0 if s is None else float(min(1.0, s[-1] / words)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(known, pa.float64())], names=[*keep, "lang_pred", "score", "known"])
 
-    return chosen.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return chosen.mapInArrow(run, f"{schema}, lang_pred string, score double, known double")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import free_shuffles, mix, shingle_hashes, slices, stash, unstash
+from gleanery.llm.common import free_shuffles, mix, shingle_runs, small_batches, stash, unstash
 from gleanery.llm.components import components
 
 #: A token's run with more documents than that goes into the matrix; others give their pairs at once.
@@ -45,8 +45,14 @@ TOP = 255
 
 def sets_of(column: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
     """The sorted distinct shingles of each row."""
-    for a, b, data, offs in slices(column):
-        h, row, _ = shingle_hashes(data, offs, width)
+    held: list[np.ndarray] = []
+    for a, b, h, row, more in shingle_runs(column, width):
+        if more or held:  # pieces of one long row
+            held.append(np.unique(h))
+            if more:
+                continue
+            h, held = np.concatenate(held), []
+            row = np.zeros(len(h), np.int64)
         cut = np.searchsorted(row, np.arange(b - a + 1))
         for i in range(b - a):
             own = np.sort(h[cut[i] : cut[i + 1]])
@@ -401,6 +407,7 @@ def _bounded_groups(asked: DataFrame, per_cent: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", per_cent: int = 80, sample_docs: int = 8192, sample_least: int = 3) -> DataFrame:
     """key, n_shingles, component_id of each row, and n_links: how many verified links its class has (of a group's links those that were candidates, a lower bound)."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{key}`").cast("bigint").alias("k"), F.col(f"`{text}`").alias("t"))
     frequent = _frequent(rows, sample_docs, sample_least)

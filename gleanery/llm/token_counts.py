@@ -25,8 +25,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.llm.common import small_batches
+
 #: Words memoised by a Python worker; at this number the memo starts anew. Bounds memory, not results.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 200_000
 
 
 def byte_letters() -> list[str]:
@@ -155,6 +157,7 @@ def counter(path: str) -> MergeCounter:
 
 def token_counts(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", limit: int = 2048) -> DataFrame:
     """key, n_bytes, n_tokens, over_limit of each row, in one pass without a shuffle. tokenizer: the file's path on every node."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(tokenizer)
@@ -171,6 +174,7 @@ def token_counts(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
 
 def counted(docs: DataFrame, tokenizer: str, name: str = "n_tokens", text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns keep of each row and, as name, the number of tokens of its text."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(tokenizer)

@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanery.llm.common import small_batches
 from gleanery.llm.html_text import all_text
 
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:gleanery:warc-derivatives")
@@ -144,6 +145,7 @@ def derivatives_of(record_id: str, target_uri: str | None, date: str | None, blo
 
 def derive(responses: DataFrame, keep: tuple[str, ...] = (), with_block: bool = True) -> DataFrame:
     """The derived records of response records (record_id, target_uri, warc_date, payload_digest strings, block binary), with the columns keep of their source."""
+    small_batches(responses.sparkSession)
     wanted = [c for c in DERIVED if with_block or c[0] != "block"]
     schema = ", ".join([f"`{c}` {responses.schema[c].dataType.simpleString()}" for c in keep] + [f"{n} {_SQL[t]}" for n, t in wanted])
     read = ["record_id", "target_uri", "warc_date", "block", "payload_digest"]

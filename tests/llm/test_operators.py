@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gleanery.llm import ann, components, fingerprints, html_text, language_id, line_dedup, mixing, ngram_jaccard, packing, queries, token_counts, warc
+from gleanery.llm import ann, common, components, fingerprints, html_text, language_id, line_dedup, mixing, ngram_jaccard, packing, queries, token_counts, warc
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, n_tokens string, k int, t string, score string"
 
@@ -159,6 +159,13 @@ def test_language_labels(spark):
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(docs, model).collect()}
     assert all(got[i][0] == langs[i] and got[i][1] > 0.8 for i in langs) and got[63][0] == "en"
     assert all(got[i] == ("und", 0.0) for i in (60, 61, 62))
+    odd = table(spark, ["\u0301\u0300 \u0302", "和" * 200, "the" * 3000, "Сегодня"])
+    known = {r["doc_id"]: (r["lang_pred"], r["known"]) for r in language_id.predict(odd, model).collect()}
+    assert known[0] == ("und", 0.0) and known[1][1] == 0 and known[3][1] == 0 and known[2][0] == "en"
+    assert len(model.label("和" * 200)) == 7  # a long run is several positions
+    many = docs.unionAll(docs.where("doc_id = 1").crossJoin(spark.range(500)).select(*docs.columns))  # rows that repeat count once
+    assert language_id.train(many).weights.tolist() == model.weights.tolist()
+    assert language_id.predict(docs.where("doc_id < 0"), model).count() == 0
     mixed = [p for _, p in model.label(" ".join(words["en"][:6] + words["de"][:6]))]
     assert [model.langs[int(p.argmax())] for p in mixed] == ["en"] * 6 + ["de"] * 6
     assert language_id.train(docs.where("lang is null")) is None and language_id.predict(docs, None).where("lang_pred <> 'und'").count() == 0
@@ -169,8 +176,22 @@ def test_windows_give_whole_marginals():
     m.weights = np.random.default_rng(0).standard_normal(m.weights.shape).astype(np.float32)
     m.trans = np.array([[1.0, -1.0], [-1.0, 1.0]])
     words = [f"w{i % 97}x".translate(str.maketrans("0123456789", "abcdefghij")) for i in range(2000)]
-    whole = language_id.marginals(m.emissions(words), m.start, m.trans).sum(axis=0)
-    assert np.allclose(m.texts([" ".join(words)])[0], whole, atol=1e-6)
+    whole = language_id.marginals(m.emissions(words)[:, :-1], m.start, m.trans).sum(axis=0)
+    assert np.allclose(m.texts([" ".join(words)])[0][:-1], whole, atol=1e-6)
+
+
+def test_hashed_features():
+    words = ["a", "ab", "abc", "abcd", "bcd", "a" * 32]
+    heads, tri, size = language_id.hashed(words)
+    assert size.tolist() == list(map(len, words)) and len(tri) == sum(map(len, words))
+    cut = np.split(tri, np.cumsum(size)[:-1])
+    grams = [[f"^{w}$"[i : i + 3] for i in range(len(w))] for w in words]
+    of = {}
+    for own, names in zip(cut, grams):
+        for h, name in zip(own.tolist(), names):
+            assert of.setdefault(name, h) == h
+    assert len(set(of.values())) == len(of)
+    assert heads[2, 1] == heads[3, 1] and heads[2, 5] == heads[3, 5] and heads[3, 6] == heads[4, 6] and heads[2, 6] != heads[3, 6]  # a, abc, bcd
 
 
 def test_marginals_against_enumeration():
@@ -230,6 +251,30 @@ def test_packing_fills_bins():
 # ---- 7, components ----
 
 
+def test_long_rows_in_pieces():
+    rng = random.Random(10)
+    texts = [None, "", "x" * 1000, "a b " + "Y" * 500 + " c", " " * 700 + "a b c", "a " * 3 + " " * 500 + "b", "q" * 130 + "\n" + "r" * 70]
+    texts += [rng.choice([" ", "\n", "  "]).join(rng.choice(["a", "B", "cc", "é" * rng.randrange(1, 9), "x" * 130]) for _ in range(rng.randrange(60))) for _ in range(200)]
+
+    def sets(most):
+        out = {i: [] for i in range(len(texts))}
+        for a, b, h, row, _ in common.shingle_runs(pa.array(texts), 5, most):
+            for i in range(a, b):
+                out[i] += h[row == i - a].tolist()
+        return {i: sorted(x) for i, x in out.items()}
+
+    whole = sets(common.SLICE_BYTES)
+    assert whole == sets(64) and [sorted(set(x)) for x in whole.values()] == [s.tolist() for s in ngram_jaccard.sets_of(pa.array(texts))]
+    maker = fingerprints.Fingerprinter()
+    long = " ".join(str(rng.randrange(10**6)) for _ in range(200_000))
+    assert len(long) > 2 * common.SLICE_BYTES
+    (h,) = list(ngram_jaccard.sets_of(pa.array([long])))
+    assert len(h) == 200_000 - 4
+    low, _ = maker.bins(pa.array(["a b", long, "c"]))
+    least = [h[(h >> np.uint64(56)) == b].min() & np.uint64(15) for b in range(256)]
+    assert low[1].tolist() == [int(x) for x in least]
+
+
 def brute_components(texts):
     low = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
     sets = []
