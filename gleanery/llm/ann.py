@@ -10,10 +10,14 @@ new ones. Codes of a byte a component stand for the vectors meanwhile. A point's
 at n_reverse, nearest first, as in the published algorithm; what is left out still has the point in its own list. Rounds end when
 few lists change.
 
-Searching: a query, being a row of the table, starts at its own point; each round expands the best ef points found and not
-yet expanded, along edges in both directions, joins the neighbours with their codes, and keeps the best ef. It ends when no query
-has anything to expand, unless a number of rounds is given; what it has then is scored by exact cosine in double precision. All members of the points found are candidates in the end, so
-copies are not lost.
+Searching is greedy: a query, being a row of the table, starts at its own point. Each round expands the `expand` best points of
+its beam that aren't expanded yet (a few at a time, since a round is a few Spark joins), looks their edges up, drops the points
+that it has met before, joins the others with their codes, and keeps the best ef. A query leaves when its beam has nothing to
+expand; search ends when all have left. No number of rounds is set. A point's edges are its own list and the `degree` nearest of
+those that have it as neighbour, so no hub has more than n_neighbours + degree: what a round compares is bounded for each query.
+What that leaves out are edges into hubs from afar, which hubs' own lists make up for; recall is measured in README. What is in the
+beam in the end is scored by exact cosine in double precision. All members of the points found are candidates, so copies are not
+lost.
 
 Cases: null vectors and others without direction are left out as candidates and as queries. Vectors of different lengths are
 compared within their length only. Ties go to the smaller id; repeated ids count once a row. With fewer candidates than asked for
@@ -22,6 +26,7 @@ all that are reached are returned. An empty table gives none. Columns other than
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Iterator
@@ -31,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import free_shuffles, stash, unstash
+from gleanery.llm.common import free_shuffles, small_batches, stash, unstash
 
 LEAF = 256
 
@@ -156,8 +161,8 @@ def _merged(edges: DataFrame, k: int) -> DataFrame:
     return top.select("p", "q", "s")
 
 
-def neighbour_graph(pts: DataFrame, n: int, n_neighbours: int = 40, n_reverse: int = 40, trees: int = 40, rounds: int = 8, take: int = 8, stop: float = 0.005, seed: int = 5) -> DataFrame:
-    """Edges p, q, s: each point's nearest, by NN-descent."""
+def neighbour_graph(pts: DataFrame, n: int, n_neighbours: int = 40, n_reverse: int = 40, trees: int = 8, rounds: int | None = None, take: int = 8, stop: float = 0.01, seed: int = 5) -> DataFrame:
+    """Edges p, q, s: each point's nearest, by NN-descent. Rounds go on until at most the share `stop` of all edges is new, unless their number is given: lists only ever get better, so that comes."""
     spark = pts.sparkSession
     codes = pts.select(F.col("p").alias("q"), "code")
     graph = stash(_merged(_leaves(pts, n, trees, take, seed), n_neighbours))
@@ -186,7 +191,7 @@ def neighbour_graph(pts: DataFrame, n: int, n_neighbours: int = 40, n_reverse: i
             yield _edges(found)
 
     fresh = graph.withColumn("new", F.lit(True))
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         worst = fresh.groupBy("p").agg(F.when(F.count(F.lit(1)) >= n_neighbours, F.min("s")).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
         reverse = fresh.select(F.col("q").alias("at"), F.col("p").alias("q"), "s", "new").withColumn("r", F.row_number().over(Window.partitionBy("at").orderBy(F.desc("s"), "q"))).where(F.col("r") <= n_reverse).drop("r")
         meeting = fresh.select(F.col("p").alias("at"), "q", "s", "new").unionByName(reverse)
@@ -206,46 +211,60 @@ def neighbour_graph(pts: DataFrame, n: int, n_neighbours: int = 40, n_reverse: i
     return graph
 
 
-def search(queries: DataFrame, pts: DataFrame, graph: DataFrame, ef: int = 128, rounds: int | None = None) -> DataFrame:
+def adjacency(graph: DataFrame, degree: int) -> DataFrame:
+    """p, nbrs: each point's own list and the `degree` nearest of those that have it in theirs."""
+    w = Window.partitionBy("p").orderBy(F.desc("s"), "q")
+    reverse = graph.select(F.col("q").alias("p"), F.col("p").alias("q"), "s").withColumn("r", F.row_number().over(w)).where(F.col("r") <= degree).select("p", "q")
+    return graph.select("p", "q").unionByName(reverse).groupBy("p").agg(F.collect_set("q").alias("nbrs"))
+
+
+#: A query's state: its point, its code, the beam (points, likenesses, whether expanded), every point met, and what to expand next.
+BEAM = "c bigint, own binary, q array<bigint>, s array<float>, done array<boolean>, seen array<bigint>, next array<bigint>"
+
+
+def search(queries: DataFrame, pts: DataFrame, graph: DataFrame, ef: int = 96, expand: int = 16, degree: int = 24) -> DataFrame:
     """Pairs c (a query's own point), q (point found), s (cosine): greedy search from the query's own point, all queries side by side. The beam is kept by the codes' likeness; what is in it at the end is scored exactly."""
     spark = pts.sparkSession
-    edges = stash(graph.select("p", "q").unionByName(graph.select(F.col("q").alias("p"), F.col("p").alias("q"))).distinct())
+    edges = stash(adjacency(graph, degree))
     codes = pts.select(F.col("p").alias("q"), "code")
-    asked = stash(queries.select("c").distinct().join(pts.select(F.col("p").alias("c"), F.col("code").alias("own")), "c"))
+    point = F.array("c")
+    asked = queries.select("c").distinct().join(pts.select(F.col("p").alias("c"), F.col("code").alias("own")), "c")
+    beam = stash(asked.select("c", "own", *(F.array().cast(t).alias(n) for n, t in (("q", "array<bigint>"), ("s", "array<float>"), ("done", "array<boolean>"))), point.alias("seen"), point.alias("next")))
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The beam with the points that were met: ids and codes, in columns 6 and 7."""
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sizes = [len(x) for x in batch.column(2).to_pylist()]
-            s = np.full(batch.num_rows, -2.0)
-            for size in set(sizes):
-                at = np.flatnonzero([n == size for n in sizes])
-                x, y = batch.column(2).take(pa.array(at)).to_pylist(), batch.column(3).take(pa.array(at)).to_pylist()
-                ok = np.array([len(u) == size for u in y])
-                if ok.any():
-                    s[at[ok]] = np.einsum("ij,ij->i", _matrix([u for u, k in zip(x, ok) if k]), _matrix([u for u, k in zip(y, ok) if k]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s)], names=["c", "q", "s"])
-
-    # beam: the best ef of each query; seen: all that were ever compared
-    beam = asked.select("c", F.col("c").alias("q"), F.lit(None).cast("double").alias("s"), F.lit(False).alias("done"))
-    seen = None
-    for _ in itertools.count() if rounds is None else range(rounds):
-        step = beam.where(~F.col("done")).join(edges.withColumnRenamed("q", "to"), beam["q"] == edges["p"]).select("c", F.col("to").alias("q")).where("q <> c").distinct()
-        if seen is not None:
-            step = step.join(seen, ["c", "q"], "left_anti")
-        step = stash(step)
-        scored = step.join(codes, "q").join(asked, "c").select("c", "q", "code", "own").mapInArrow(near, "c bigint, q bigint, s double").where("s > -2").withColumn("done", F.lit(False))
-        kept = beam.where("s is not null").withColumn("done", F.lit(True)).unionByName(scored)
-        w = Window.partitionBy("c").orderBy(F.desc("s"), "q")
-        kept = stash(kept.withColumn("r", F.row_number().over(w)).where(F.col("r") <= ef).drop("r"))
-        if seen is not None:
-            unstash(beam)
-        seen = step if seen is None else seen.unionByName(step)
-        beam = kept
+            rows: list[list] = []
+            for c, own, q, s, done, seen, ids, data in zip(*(x.to_pylist() for x in batch.columns)):
+                ok = [i for i, code in enumerate(data) if len(code) == len(own)]
+                if ok:
+                    m = _matrix([own, *(data[i] for i in ok)])
+                    q, s, done = q + [ids[i] for i in ok], s + (m[1:] @ m[0]).tolist(), done + [False] * len(ok)
+                order = sorted(range(len(q)), key=lambda i: (-s[i], q[i]))[:ef]
+                left = [i for i in order if not done[i]][:expand]
+                for i in left:
+                    done[i] = True
+                rows.append([c, own, [q[i] for i in order], [s[i] for i in order], [done[i] for i in order], seen + ids, [q[i] for i in left]])
+            kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float32()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds], names=["c", "own", "q", "s", "done", "seen", "next"])
+
+    ended = []
+    while True:
+        met = beam.select("c", F.explode("next").alias("p")).join(edges, "p").groupBy("c").agg(F.array_distinct(F.flatten(F.collect_list("nbrs"))).alias("met"))
+        new = beam.join(met, "c").select("c", F.explode(F.array_except("met", "seen")).alias("q"))
+        found = new.join(codes, "q").groupBy("c").agg(F.collect_list("q").alias("ids"), F.collect_list("code").alias("codes"))
+        none = lambda name, kind: F.coalesce(F.col(name), F.array().cast(kind)).alias(name)
+        state = beam.join(found, "c", "left").select("c", "own", "q", "s", "done", "seen", none("ids", "array<bigint>"), none("codes", "array<binary>"))
+        after = stash(state.mapInArrow(step, BEAM))
+        unstash(beam)
+        left = F.size("next") > 0
+        ended.append(after.where(~left).select("c", "q"))
         free_shuffles(spark)
-        if not beam.where(~F.col("done")).limit(1).count():
+        if not after.where(left).limit(1).count():
             break
+        beam = after.where(left)
+        beam._stash_path = None  # those that ended are still to be read
+    beam = functools.reduce(DataFrame.unionByName, ended).select("c", F.explode("q").alias("q"))
     vectors = pts.select("p", "x")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,6 +284,7 @@ def cosine(x: np.ndarray, y: np.ndarray) -> float:
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", **build) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of each query row (queries: rows of vectors), without the query's own."""
+    small_batches(vectors.sparkSession)
     pts, member = points(vectors, key, vector, k + 1)
     pts, member = stash(pts), stash(member)
     n = pts.count()

@@ -46,7 +46,9 @@ def stash(df: DataFrame) -> DataFrame:
 
 
 def unstash(df: DataFrame) -> None:
-    """Delete a stash that nothing reads any more."""
+    """Delete a stash that nothing reads any more; no path, nothing to delete."""
+    if df._stash_path is None:
+        return
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(df._stash_path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

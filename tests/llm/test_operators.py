@@ -118,7 +118,7 @@ def test_nearest_neighbours(spark):
     rows = [(i, list(map(float, v)), "e") for i, v in enumerate(x)] + [(900, None, "e"), (901, [0.0] * 16, "e"), (902, [float("nan")] * 16, "e"), (903, [None] * 16, "e")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, p string")
     got = {}
-    for r in ann.nearest(df, df.where("vec_id % 10 = 0 or vec_id = 3"), 5, trees=6, rounds=4).collect():
+    for r in ann.nearest(df, df.where("vec_id % 10 = 0 or vec_id = 3"), 5).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     hit = n = 0
@@ -141,8 +141,14 @@ def test_search_ends_only_when_nothing_is_left(spark):
     rows = [(i, [float(np.cos(i / 20)), float(np.sin(i / 20))]) for i in range(17)]
     pts, _ = ann.points(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", 1)
     chain = spark.createDataFrame([(i, i + 1, 0.0) for i in range(16)], "p long, q long, s float")
-    found = ann.search(spark.createDataFrame([(0,)], "c long"), ann.stash(pts), chain).collect()
-    assert {r["q"] for r in found} == set(range(1, 17))
+    found = ann.search(spark.createDataFrame([(0,)], "c long"), ann.stash(pts), chain, expand=4).collect()
+    assert {r["q"] for r in found} == set(range(17))  # by rounds of one edge each
+
+
+def test_edges_of_hubs_are_bounded(spark):
+    star = spark.createDataFrame([(i, 0, 1 - i / 100) for i in range(1, 60)], "p long, q long, s float")
+    rows = {r["p"]: sorted(r["nbrs"]) for r in ann.adjacency(star, 5).collect()}
+    assert rows[0] == [1, 2, 3, 4, 5] and all(rows[i] == [0] for i in range(1, 60))
 
 
 # ---- 5 ----
