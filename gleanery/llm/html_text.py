@@ -1,13 +1,23 @@
 """Main-text extraction from HTML by minimum-cut labelling.
 
-A page is cut into blocks: runs of text between block-level tags, each with its path of open elements. A linear classifier over
-block features (words, link density, the classes, roles and names of the elements around it, punctuation) gives each block a
-cost of being boilerplate and a cost of being content; these are the capacities of its edges to the two terminals. Blocks that
-stand next to each other, and neighbouring blocks under the same parent, are joined by smoothness edges, so that one odd
-paragraph inside an article is not lost. The minimum cut (maximum flow, by shortest augmenting paths) labels all blocks at once.
-Blocks whose own costs outweigh all smoothness edges at them are fixed first, which leaves the cut as it was and the graphs small.
+A page is cut into blocks: runs of text between block-level tags, each with its path of open elements. A classifier gives each
+block the log odds of being content, and these are the capacities of its edges to the two terminals:
 
-Elements that never hold main text (script, style, forms, navigation, footers, ...) have a cost that no neighbour outweighs.
+- A logistic regression over the block's text (words, punctuation, link density, kind of element, stock phrases), held within
+  TEXT_ODDS. Its text weights are fitted on a sample of at most sample_pages pages and BLOCKS_A_PAGE blocks of each, in which markup tells:
+  blocks inside article or main are content, those inside nav, footer, aside and the like aren't. Names aren't used there. The fit
+  is pulled towards PRIOR, so that a few pages, or pages without such markup, leave the weights as they are.
+- The names (class, id, role) and kinds of the elements around it add fixed odds, GOOD_ODDS or BAD_ODDS. Names that only hint
+  give way to a name or an element of articles.
+- So do headings such as "Comments" or "Related": what follows them in the same element is boilerplate.
+
+Blocks that stand next to each other, and neighbouring blocks under the same parent, are joined by smoothness edges on the same
+scale: one odd paragraph or a short line inside an article isn't lost, a sentence in a list of links isn't kept. The minimum cut
+(maximum flow, by shortest augmenting paths) labels all blocks at once. Blocks whose own odds outweigh all smoothness edges at
+them are fixed first, which leaves the cut as it was and the graphs small.
+
+Elements that never hold main text (script, style, forms, navigation, footers, ...) have a cost that no neighbour outweighs, and no
+smoothness edges: what stands beside a menu is no more of a menu for that.
 
 Text is given with character references decoded, white space inside a block turned into one space, trimmed, blocks joined by
 one newline in page order, nothing else dropped or cut.
@@ -20,10 +30,12 @@ named are not read, so extra columns can't clash.
 from __future__ import annotations
 
 import html as htmllib
+import math
 import re
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,16 +49,34 @@ TOKEN = re.compile(
 )
 ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never main text.
 NEVER = frozenset("head title nav footer aside form button menu dialog fieldset legend label option datalist output progress meter map".split())
 GOOD = frozenset("article main".split())
-#: Names in class, id or role that speak for boilerplate, or for content.
-BAD_NAME = re.compile(r"(?<![a-z])(?:ads?|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner|breadcrumbs?|byline|comments?|reply|replies|respond|disqus|cookie\w*|consent|gdpr|notice|alert|footer|foot|masthead|topbar|header|menu|nav\w*|pager|pagination|popup|modal|overlay|related|recommend\w*|outbrain|taboola|rail|search|share\w*|sharing|social|sidebar|side|aside|skip|subscribe|subscription|newsletter|signup|login|tags?|toolbar|widgets?|copyright|legal|disclaimer|contentinfo|navigation|complementary|dialog|shoutbox|feedback|rating|toc)(?![a-z])", re.I)
-GOOD_NAME = re.compile(r"(?<![a-z])(?:article\w*|body|content|entry|main|page|post\w*|story\w*|text|prose)(?![a-z])", re.I)
+#: Words in class, id or role: of reader comments; of boilerplate whatever else the name says; of boilerplate unless a word or element of articles stands beside; of articles; of content.
+COMMENT_NAME = frozenset("comment comments commentlist reply replies respond responses disqus discussion discussions reactions talkback guestbook shoutbox feedback thread".split())
+BAD_NAME = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner breadcrumb breadcrumbs cookie cookies consent gdpr footer masthead topbar menu nav navbar navigation pager pagination popup modal overlay related recommend recommended recommendations outbrain taboola sidebar aside subscribe subscription newsletter signup login toolbar widget widgets copyright disclaimer contentinfo complementary dialog".split())
+HINT_NAME = frozenset("header head top foot notice alert search share shares sharing social rail side skip tag tags byline legal rating toc".split())
+ARTICLE_NAME = frozenset("article post entry story prose".split())
+GOOD_NAME = ARTICLE_NAME | frozenset("content body text main".split())
+#: A short heading that begins boilerplate.
+SECTION = re.compile(r"(?:\d+\s+)?(?:reader\s+)?(?:comments?|responses?|replies|discussion|leave a (?:reply|comment)|related\b.*|you (?:may|might) also like|more stories|read next|recommended\b.*|share this\b.*)(?:\s*\(\d+\))?\s*[:!.]?", re.I)
+STOCK = re.compile(r"(?:©|\(c\)|copyright\b|all rights reserved|posted (?:by|on)\b|share (?:this|on)\b|read more\b|advertisement\b|sponsored\b)", re.I)
+SPLIT_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 #: Open elements that a start tag closes, up to a boundary.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 STRONG = 1e6
+#: Log odds: the text's are held between these; those of names; the smoothness between neighbours at no distance, and under one parent.
+TEXT_ODDS = (-6.0, 4.0)
+GOOD_ODDS, BAD_ODDS = 0.8, -8.0
+NEXT_EDGE, SIBLING_EDGE = 4.0, 1.5
+#: Weights of features() before any fit: constant, log2 of words, link density, sentence end, comma, paragraph, heading, list or table, stock phrase.
+PRIOR = (-2.5, 0.8, -4.0, 1.0, 0.3, 0.8, 0.4, -0.4, -2.5)
+#: Those that are fitted: what a block's element is goes with the markup that labels it, so that its weights would stand for the label.
+FITTED = (0, 1, 2, 3, 4)
+#: Blocks that the fit takes of a page, spread over all of it.
+BLOCKS_A_PAGE = 64
 
 
 class Block:
@@ -92,15 +122,13 @@ def blocks(page: str) -> list[Block]:
                     names.append(value)
                 elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
                     hidden = True
-            if names:
-                joined = re.sub(r"([a-z])([A-Z])", r"\1 \2", " ".join(names)).replace("_", " ").replace("-", " ")
-                if BAD_NAME.search(joined):
-                    bad = True
-                elif GOOD_NAME.search(joined):
-                    good = True
+            mark = _named(tag, names)
+            bad, good = bad or mark < 0, good or mark > 0
+        elif tag in GOOD:
+            good = True
         if tag == "header" and not good:
             never = True
-        stack.append((tag, made, never or hidden or tag in NEVER, bad, good or tag in GOOD))
+        stack.append((tag, made, never or hidden or tag in NEVER, bad, good))
 
     at = 0
     for m in TOKEN.finditer(page):
@@ -170,29 +198,62 @@ def blocks(page: str) -> list[Block]:
         parts.append(tail)
         linked += in_link and len(tail)
     end_block()
-    return out
+    return _sections(out)
+
+
+def _named(tag: str, names: list[str]) -> int:
+    """What an element's kind and names say: 1 content, -1 boilerplate, 0 nothing or both."""
+    words = {w.lower() for name in names for w in SPLIT_NAME.findall(name)}
+    if words & COMMENT_NAME:
+        return -1
+    if words & BAD_NAME:
+        return 0 if tag in GOOD else -1
+    if words & HINT_NAME and tag not in GOOD and not words & ARTICLE_NAME:
+        return -1
+    return int(tag in GOOD or bool(words & GOOD_NAME))
+
 
+def _sections(bs: list[Block]) -> list[Block]:
+    """Marks what follows headings of boilerplate, in the element around the heading, as bad; the heading too."""
+    open_: tuple[int, ...] | None = None
+    for b in bs:
+        if open_ is not None and b.path[: len(open_)] != open_:
+            open_ = None
+        if open_ is None and b.tag in HEADINGS and len(b.text) < 60 and SECTION.fullmatch(b.text):
+            open_ = b.path[:-1]
+        b.bad = b.bad or open_ is not None
+    return bs
 
-def costs(b: Block) -> float:
-    """The classifier's score: above 0 the block looks like content; its size is the difference of the two terminal capacities."""
+
+def features(b: Block) -> tuple[float, ...]:
+    """Of the block's text and element, in the order of PRIOR."""
+    tag = b.tag
+    return (1.0, math.log2(b.text.count(" ") + 2), b.links, float(b.text[-1:] in ".!?…»”\""), float("," in b.text), float(tag in ("p", "blockquote", "pre")), float(tag in HEADINGS), float(tag in ("li", "td", "th", "dt", "dd")), float(len(b.text) < 200 and STOCK.match(b.text) is not None))
+
+
+def costs(b: Block, weights: Sequence[float] = PRIOR) -> float:
+    """The log odds of content; their size is the difference of the two terminal capacities."""
     if b.never:
         return -STRONG
-    n = b.text.count(" ") + 1
-    score = -0.6 + 0.9 * min(n, 12) / 6
-    if b.text[-1:] in ".!?…»”\"":
-        score += 0.5
-    score -= 4.0 * b.links
-    if b.bad:
-        score -= 8.0
-    if b.good:
-        score += 5.0
-    if b.tag in ("p", "blockquote", "pre", "h1", "h2"):
-        score += 0.8
-    elif b.tag in ("li", "td", "th", "dt", "dd"):
-        score -= 0.4
-    if len(b.text) < 200 and re.match(r"(?:©|\(c\)|copyright\b|all rights reserved|posted (?:by|on)\b|share (?:this|on)\b|read more\b|advertisement\b|sponsored\b)", b.text, re.I):
-        score -= 4.0
-    return score
+    text = sum(w * x for w, x in zip(weights, features(b)))
+    return min(max(text, TEXT_ODDS[0]), TEXT_ODDS[1]) + GOOD_ODDS * b.good + BAD_ODDS * b.bad
+
+
+def fitted(x: np.ndarray, y: np.ndarray, pull: float = 4.0, rounds: int = 12) -> tuple[float, ...]:
+    """Weights of a logistic regression by Newton's steps, pulled towards PRIOR; classes count alike."""
+    whole, own = np.array(PRIOR), list(FITTED)
+    if not (0 < y.sum() < len(y)):
+        return PRIOR
+    given = x @ whole - x[:, own] @ whole[own]
+    x, w0 = x[:, own], whole[own]
+    each = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    w = w0.copy()
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w + given, -30, 30)))
+        grad = x.T @ (each * (p - y)) + pull * (w - w0)
+        w -= np.linalg.solve((x * (each * p * (1 - p))[:, None]).T @ x + pull * np.eye(len(w)), grad)
+    whole[own] = w
+    return tuple(whole.tolist())
 
 
 def smoothness(a: Block, b: Block) -> float:
@@ -203,13 +264,13 @@ def smoothness(a: Block, b: Block) -> float:
             break
         same += 1
     far = len(a.path) + len(b.path) - 2 * same
-    return 1.2 / (1 + far)
+    return NEXT_EDGE / (1 + far) ** 2
 
 
-def labels(bs: list[Block]) -> list[bool]:
+def labels(bs: list[Block], weights: Sequence[float] = PRIOR) -> list[bool]:
     """Content or not, by the minimum cut."""
     n = len(bs)
-    score = [costs(b) for b in bs]
+    score = [costs(b, weights) for b in bs]
     edges: list[dict[int, float]] = [{} for _ in range(n)]
 
     def join(i: int, j: int, w: float) -> None:
@@ -218,11 +279,13 @@ def labels(bs: list[Block]) -> list[bool]:
 
     last: dict[int, int] = {}
     for i, b in enumerate(bs):
-        if i:
+        if b.never:
+            continue
+        if i and not bs[i - 1].never:
             join(i - 1, i, smoothness(bs[i - 1], b))
         parent = b.path[-2] if len(b.path) > 1 else 0
         if parent in last:
-            join(last[parent], i, 0.8)
+            join(last[parent], i, SIBLING_EDGE)
         last[parent] = i
     # Persistency: such a block has the same label in every minimum cut; its edges become terminal capacities of its neighbours.
     fixed: list[bool | None] = [None] * n
@@ -277,11 +340,39 @@ def _source_side(nodes: list[int], score: list[float], edges: list[dict[int, flo
             left[j][i] = left[j].get(i, 0.0) + flow
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, weights: Sequence[float] = PRIOR) -> str:
     if not page:
         return ""
     bs = blocks(page)
-    return "\n".join(b.text for b, keep in zip(bs, labels(bs)) if keep)
+    return "\n".join(b.text for b, keep in zip(bs, labels(bs, weights)) if keep)
+
+
+def cut_effect(page: str | None, weights: Sequence[float] = PRIOR) -> tuple[int, int]:
+    """(blocks, blocks whose label the cut makes other than their own odds say) of a page."""
+    bs = blocks(page) if page else []
+    return len(bs), sum(keep != (costs(b, weights) > 0) for b, keep in zip(bs, labels(bs, weights)))
+
+
+def fit(pages: DataFrame, html: str = "html", sample_pages: int = 400) -> tuple[float, ...]:
+    """The weights of features(), of at most sample_pages pages, those of the least hashes; BLOCKS_A_PAGE rows of numbers of each reach the driver."""
+    small_batches(pages.sparkSession)
+    rows = pages.select(F.col(f"`{html}`").alias("t")).where("t is not null").withColumn("h", F.xxhash64("t"))
+    share = min(1.0, 8.0 * sample_pages / max(1, rows.count()))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = []
+            for t in batch.column(0):
+                own = [b for b in blocks(t.as_py()) if b.never or (b.good and not b.bad)]
+                own = own[:: -(-len(own) // BLOCKS_A_PAGE) or 1]
+                data.append(np.array([(not b.never, *features(b)) for b in own], np.float64).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(data, pa.binary())], names=["h", "x"])
+
+    # a few times as many as wanted are parsed, by another hash; pages that repeat count once
+    drawn = rows.where(F.shiftrightunsigned(F.xxhash64("h"), 11) < F.lit(int(share * (1 << 53)))).select("t", "h").mapInArrow(learn, "h bigint, x binary")
+    got = drawn.distinct().orderBy("h", "x").limit(sample_pages).collect()
+    x = np.frombuffer(b"".join(r["x"] for r in got), np.float64).reshape(-1, 1 + len(PRIOR))
+    return fitted(x[:, 1:], x[:, 0]) if len(x) else PRIOR
 
 
 def all_text(page: str | None) -> str:
@@ -289,13 +380,14 @@ def all_text(page: str | None) -> str:
     return "\n".join(b.text for b in blocks(page) if b.tag != "title") if page else ""
 
 
-def main_texts(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """The columns keep, text and n_chars of each row: one pass, no shuffle."""
+def main_texts(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url"), weights: Sequence[float] | None = None) -> DataFrame:
+    """The columns keep, text and n_chars of each row: one pass, no shuffle, after that of fit() if no weights are given."""
+    weights = fit(pages, html) if weights is None else tuple(weights)
     small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(v.as_py()) for v in batch.column(len(keep))]
+            texts = [main_text(v.as_py(), weights) for v in batch.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
 
     schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)

@@ -37,6 +37,36 @@ def test_main_text():
     assert html_text.main_text("<p>" + "word " * 50_000).count("word") == 50_000
 
 
+ONE = "One long paragraph, with words in it."
+
+
+def test_main_text_despite_names():
+    assert html_text.main_text(f"<article class='post-content share-page'><p>{ONE}</p></article>") == ONE
+    assert html_text.main_text(f"<div class='header-image-post'><p>{ONE}</p><p>Two.</p></div>") == f"{ONE}\nTwo."
+    thanks = "<p>What a great article, thanks a lot for it.</p>"
+    assert html_text.main_text(f"<article><p>{ONE}</p><div id='discussion'>{thanks}</div><p>Last one, as they say.</p></article><div><h3>3 Comments</h3>{thanks}</div>") == f"{ONE}\nLast one, as they say."
+    for name in ("related-posts", "commentBody", "sidebar_content", "header", "ad"):
+        assert html_text.main_text(f"<div class='{name}'><p>{ONE}</p></div>") == "", name
+
+
+def test_the_cut_changes_labels():
+    page = f"<div><p>{ONE}</p><p>Yes</p><p>{ONE}</p></div><ul><li><a href=x>Home</a></li><li>A word.</li><li><a href=y>About</a></li></ul>"
+    assert html_text.main_text(page) == f"{ONE}\nYes\n{ONE}" and html_text.cut_effect(page)[1] > 0
+
+
+def test_fitted_costs(spark):
+    rng = random.Random(11)
+    x = np.array([[1, rng.uniform(1, 7), rng.random(), rng.randrange(2), rng.randrange(2), 1, 0, 0, 0] for _ in range(600)], float)
+    y = (x @ np.array([-1, 1, -6, 2, 0, 0, 0, 0, 0]) > 0).astype(float)
+    w = html_text.fitted(x, y)
+    assert ((x @ np.array(w) > 0) == y).mean() > 0.95 and w[5:] == html_text.PRIOR[5:]
+    assert html_text.fitted(x, y * 0) == html_text.PRIOR
+    plain = spark.createDataFrame([(None,), ("<p>x</p>",)], "html string")
+    assert html_text.fit(plain) == html_text.PRIOR and html_text.fit(plain.where("html = 'q'")) == html_text.PRIOR
+    some = spark.createDataFrame([(PAGE,)] * 5, "html string")
+    assert html_text.fit(some) == html_text.fit(some.limit(1)) != html_text.PRIOR
+
+
 def test_minimum_cut_is_minimal():
     rng = random.Random(1)
     for _ in range(60):
@@ -47,7 +77,7 @@ def test_minimum_cut_is_minimal():
         for i, b in enumerate(bs):
             if b.path[-2] in last:
                 e = (last[b.path[-2]], i)
-                edges[e] = edges.get(e, 0) + 0.8
+                edges[e] = edges.get(e, 0) + html_text.SIBLING_EDGE
             last[b.path[-2]] = i
         energy = lambda y: sum(-html_text.costs(b) * k for b, k in zip(bs, y)) + sum(w for (i, j), w in edges.items() if y[i] != y[j])
         best = min(map(energy, itertools.product((False, True), repeat=n)))
