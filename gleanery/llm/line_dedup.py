@@ -23,7 +23,7 @@ shuffle of lines.
 
 Cases: null text has no lines, stays null; lines are split at \\n only; lines shorter than exact_chars
 (min_chars by default), and blank ones shorter than min_chars, always stay. Rows that repeat a key count as one document: lines at the same place of both are not repeats of each other. Rows with a
-null key stay as they are. Very long lines are compared whole. An empty table gives none. Columns other than the key and the text are kept as they are; inner names carry a prefix of two underscores.
+null key stay as they are. Very long lines are compared whole. An empty table gives none. Columns other than the key and the text are kept as they are; an input column named n_lines, n_exact or n_near gives way to the operator's own.
 """
 
 from __future__ import annotations
@@ -154,10 +154,16 @@ def _named(df: DataFrame, key: str) -> DataFrame:
 def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 20, max_edits: int = 1, exact_chars: int | None = None) -> DataFrame:
     """docs with the lines that go taken out of the text, and the columns n_lines, n_exact and n_near beside the others."""
     gone = repeated_lines(docs, key, text, min_chars, max_edits, exact_chars)
-    gone = gone.groupBy(F.col(key).alias("__k")).agg(F.collect_list("line_no").alias("__gone"), F.count_if(~F.col("near")).alias("__exact"), F.count_if("near").alias("__near"))
-    lines = F.split(F.col(f"`{text}`"), "\n", -1)
+    gone = gone.groupBy(F.col(key).alias("k")).agg(F.collect_set("line_no").alias("gone"), F.count_if(~F.col("near")).alias("exact"), F.count_if("near").alias("near"))
     # a map lookup for each line, not a walk through the list
-    gone = gone.withColumn("__map", F.map_from_arrays(F.array_distinct("__gone"), F.array_repeat(F.lit(True), F.size(F.array_distinct("__gone"))))).drop("__gone")
-    kept = F.array_join(F.filter(lines, lambda x, i: F.element_at(F.col("__map"), i).isNull()), "\n")
-    out = docs.join(gone, F.col(f"`{key}`") == F.col("__k"), "left")
-    return out.select(*[(F.when(F.col("__map").isNull(), F.col(f"`{c}`")).otherwise(kept).alias(c) if c == text else F.col(f"`{c}`")) for c in docs.columns], F.coalesce(F.size(lines), F.lit(0)).cast("bigint").alias("n_lines"), F.coalesce("__exact", F.lit(0)).alias("n_exact"), F.coalesce("__near", F.lit(0)).alias("n_near"))
+    gone = gone.select(F.struct("k", F.map_from_arrays("gone", F.array_repeat(F.lit(True), F.size("gone"))).alias("gone"), "exact", "near").alias("__gone"))
+    # the input's columns travel as one, so that no name of theirs can clash with another
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"))
+    out = rows.join(gone, F.col("__doc")[key] == F.col("__gone.k"), "left")
+    whole = F.col("__doc")[text]
+    lines = F.split(whole, "\n", -1)
+    kept = F.array_join(F.filter(lines, lambda x, i: F.element_at(F.col("__gone.gone"), i).isNull()), "\n")
+    own = {"n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("bigint"), "n_exact": F.coalesce("__gone.exact", F.lit(0)), "n_near": F.coalesce("__gone.near", F.lit(0))}
+    # a column of the input that has one of these names gives way
+    kept_columns = [c for c in docs.columns if c not in own]
+    return out.select(*[(F.when(F.col("__gone").isNull(), whole).otherwise(kept) if c == text else F.col("__doc")[c]).alias(c) for c in kept_columns], *[v.alias(c) for c, v in own.items()])

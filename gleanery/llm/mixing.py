@@ -94,14 +94,14 @@ def mixture(docs: DataFrame, source: str = "source", key: str = "doc_id", text:
     last = last.groupBy("s", "dk", "room").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(Window.partitionBy("s").orderBy("dk")))
     final = last.where("upto <= room").groupBy("s").agg(F.max("dk").alias("edk"))
     end = end.select("ps", "ebk").join(final, F.col("s").eqNullSafe(F.col("ps")), "left").select(F.col("ps").alias("es"), "ebk", "edk")
-    plan = stash(plan.join(end, F.col("s").eqNullSafe(F.col("es")), "left").select(F.col("s").alias("__s"), "blocks", "full", "rest", "weight", "ebk", "edk"))
+    plan = stash(plan.join(end, F.col("s").eqNullSafe(F.col("es")), "left").select(F.col("s").alias("__s"), *(F.col(c).alias(f"__{c}") for c in ("blocks", "full", "rest", "weight", "ebk", "edk"))))
 
     out = docs.withColumn(f"{prefix}n_tokens", n).join(plan, F.col(f"`{source}`").eqNullSafe(F.col("__s")))
-    out = out.withColumn(f"{prefix}block", block(F.col(f"`{key}`"), F.col("blocks")))
-    bk, dk = block_key(F.col("__s"), F.col("full"), F.col(f"{prefix}block")), doc_key(F.col("full"), F.col(f"`{key}`"))
+    out = out.withColumn(f"{prefix}block", block(F.col(f"`{key}`"), F.col("__blocks")))
+    bk, dk = block_key(F.col("__s"), F.col("__full"), F.col(f"{prefix}block")), doc_key(F.col("__full"), F.col(f"`{key}`"))
     # without an end, a rest takes in the whole source (it can, by rounding, be all of its tokens)
-    again = (F.col("rest") > 0) & (F.col("ebk").isNull() | (bk < F.col("ebk")) | ((bk == F.col("ebk")) & F.coalesce(dk <= F.col("edk"), F.lit(False))))
-    times = F.col("full") + again.cast("int")
+    again = (F.col("__rest") > 0) & (F.col("__ebk").isNull() | (bk < F.col("__ebk")) | ((bk == F.col("__ebk")) & F.coalesce(dk <= F.col("__edk"), F.lit(False))))
+    times = F.col("__full") + again.cast("int")
     out = out.where(times > 0).withColumn(f"{prefix}epoch", F.explode(F.sequence(F.lit(0), times - 1)))
-    out = out.withColumn(f"{prefix}block_key", block_key(F.col("__s"), F.col(f"{prefix}epoch"), F.col(f"{prefix}block"))).withColumn(f"{prefix}doc_key", doc_key(F.col(f"{prefix}epoch"), F.col(f"`{key}`"))).withColumn(f"{prefix}weight", F.col("weight"))
+    out = out.withColumn(f"{prefix}block_key", block_key(F.col("__s"), F.col(f"{prefix}epoch"), F.col(f"{prefix}block"))).withColumn(f"{prefix}doc_key", doc_key(F.col(f"{prefix}epoch"), F.col(f"`{key}`"))).withColumn(f"{prefix}weight", F.col("__weight"))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], *[f"{prefix}{c}" for c in ("epoch", "block", "block_key", "doc_key", "n_tokens", "weight")])

@@ -19,7 +19,7 @@ def tokenizer_path(name: str) -> str:
 def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleanery.llm.warc import derive, responses_of_pages
 
-    return derive(responses_of_pages(table(spark, sf_dir, "pages")), keep=("page_id",), with_block=False)
+    return derive(responses_of_pages(table(spark, sf_dir, "pages")), keep=("page_id",))
 
 
 def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

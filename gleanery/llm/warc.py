@@ -15,7 +15,8 @@ Records are rows, so the number, not the size of WARC files, sets the parallelis
 files of gzip members, one a record.
 
 Cases: a null block makes a metadata record with length 0 and no conversion; an empty payload an empty conversion; broken HTTP
-heads are preserved as they stand, and what can't be decoded becomes U+FFFD. Repeated response records make repeated
+heads are preserved as they stand, characters that can't be decoded become U+FFFD, and a payload in a content coding that isn't
+known has no conversion. Repeated response records make repeated
 derivatives with equal ids. Blocks of any size are taken whole. An empty table gives none. Columns other than those named are
 not read.
 """
@@ -101,6 +102,8 @@ def payload_text(fields: list[tuple[str, str]], body: bytes) -> tuple[str | None
             body = gzip.decompress(body)
         elif coding == "deflate":
             body = zlib.decompress(body)
+        elif coding not in ("", "identity"):
+            return None, "", ""  # br and others: not to be taken for text
     except (OSError, EOFError, zlib.error):
         return None, "", ""
     kind, _, rest = get.get("content-type", "text/html").partition(";")
@@ -222,27 +225,44 @@ def write_warc(records: DataFrame, folder: str) -> None:
     records.foreachPartition(save)
 
 
-def read_warc(spark: SparkSession, path: str, types: tuple[str, ...] = ("response",)) -> DataFrame:
-    """Records of the WARC files at path, as rows that derive() takes. A file is a task's work; files are of about a GB by custom."""
+def read_warc(spark: SparkSession, path: str, types: tuple[str, ...] = ("response",), through_spark: bool = False) -> DataFrame:
+    """Records of the WARC files at path, as rows that derive() takes.
+
+    A file is a task's work; files are of about a GB by custom. Tasks stream them from the store, record by record, so that they
+    hold one batch of records. through_spark: for stores that only Spark reads; a whole file is then in memory as one row.
+    """
+    cols = ["record_id", "target_uri", "warc_date", "payload_digest", "warc_type", "refers_to", "content_type", "block"]
+    names = ["warc-record-id", "warc-target-uri", "warc-date", "warc-payload-digest", "warc-type", "warc-refers-to", "content-type", "block"]
+    kinds = [pa.string()] * 7 + [pa.binary()]
+
+    def packed(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x.get(n) for x in rows], t) for n, t in zip(names, kinds)], names=cols)
+
+    def opened(value: pa.Scalar) -> io.BufferedIOBase:
+        if through_spark:
+            return io.BytesIO(value.as_buffer())
+        from pyarrow import fs
+
+        store, name = fs.FileSystem.from_uri(value.as_py())
+        return io.BufferedReader(store.open_input_file(name), 1 << 20)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols = ["record_id", "target_uri", "warc_date", "payload_digest", "warc_type", "refers_to", "content_type", "block"]
-        names = ["warc-record-id", "warc-target-uri", "warc-date", "warc-payload-digest", "warc-type", "warc-refers-to", "content-type", "block"]
-        kinds = [pa.string()] * 7 + [pa.binary()]
         for batch in batches:
-            for content in batch.column(0):
-                raw = io.BytesIO(content.as_py())
-                stream = gzip.GzipFile(fileobj=raw) if raw.getbuffer()[:2] == b"\x1f\x8b" else raw
+            for value in batch.column(0):
+                raw = opened(value)
+                zipped = raw.read(2) == b"\x1f\x8b"
+                raw.seek(0)
                 rows: list[dict] = []
                 size = 0
-                for r in parse_records(stream):
+                for r in parse_records(gzip.GzipFile(fileobj=raw) if zipped else raw):
                     if r.get("warc-type") in types:
                         rows.append(r)
                         size += len(r["block"])
                     if size > 16 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array([x.get(n) for x in rows], t) for n, t in zip(names, kinds)], names=cols)
+                        yield packed(rows)
                         rows, size = [], 0
-                yield pa.RecordBatch.from_arrays([pa.array([x.get(n) for x in rows], t) for n, t in zip(names, kinds)], names=cols)
+                yield packed(rows)
 
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").load(path)
+    files = files.select("content") if through_spark else files.select(F.regexp_replace("path", "^file:/+", "file:///"))
     return files.mapInArrow(run, "record_id string, target_uri string, warc_date string, payload_digest string, warc_type string, refers_to string, content_type string, block binary")

@@ -106,6 +106,10 @@ def test_warc_derivatives(spark, tmp_path):
     warc.write_warc(warc.derive(source), f"file://{tmp_path}/w")
     back = warc.read_warc(spark, f"file://{tmp_path}/w", ("metadata", "conversion")).collect()
     assert sorted((r["record_id"], bytes(r["block"])) for r in back) == sorted((r["record_id"], bytes(r["block"])) for r in rows)
+    assert warc.read_warc(spark, f"file://{tmp_path}/w", ("metadata", "conversion"), through_spark=True).count() == len(rows)
+    assert warc.derive(source.where("page_id = 9")).count() == 0
+    odd = source.unionAll(source).withColumn("content_type", F.lit(1)).withColumn("refers_to", F.lit("x"))  # repeated rows, names that clash
+    assert sorted(r["record_id"] for r in warc.derive(odd).collect()) == sorted(2 * [r["record_id"] for r in rows])
 
 
 def test_warc_odd_responses():
@@ -114,6 +118,7 @@ def test_warc_odd_responses():
     assert conv[-1].decode() == "é" and conv[9] == "sha1:GIVEN" and b"source-header: X-A: 1 2" in meta[-1]
     assert [r[0] for r in warc.derivatives_of("<r>", "u", "d", b"HTTP/1.1 200 OK\r\nContent-Type: image/png\r\n\r\n\x00", None)] == ["metadata"]
     assert [r[0] for r in warc.derivatives_of("<r>", "u", "d", None, None)] == ["metadata"]
+    assert [r[0] for r in warc.derivatives_of("<r>", "u", "d", b"HTTP/1.1 200 OK\r\nContent-Encoding: br\r\n\r\n\x0b\x02ab", None)] == ["metadata"]
     chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nContent-Type: text/plain\r\n\r\n3\r\nabc\r\n2\r\nde\r\n0\r\n\r\n"
     assert warc.derivatives_of("<r>", "u", "d", chunked, None)[1][-1] == b"abcde"
     record = warc.record_bytes({"warc_type": "conversion", "record_id": "<x>", "block": b"hi"})
@@ -369,6 +374,8 @@ def test_mixture(spark):
     weights = {r["source"]: r["mix_weight"] for r in rows}
     for s in tokens:  # realised to within a document
         assert abs(seen[s] - weights[s] / weights["big"] * tokens["big"]) <= 31
+    clash = docs.withColumns({c: F.lit(-1) for c in ("weight", "blocks", "full", "rest", "ebk", "edk", "s", "ps", "b")})
+    assert sorted((r["doc_id"], r["mix_epoch"], r["weight"]) for r in mixing.mixture(clash, max_repeat=3.0, block_docs=16).collect()) == sorted((r["doc_id"], r["mix_epoch"], -1) for r in rows)
     partial = mixing.mixture(docs, target_entropy=1.0, max_repeat=None, budget_share=0.5).collect()
     got = {s: sum(r["mix_n_tokens"] for r in partial if r["source"] == s) for s in tokens}
     p = np.array([w for w in {r["source"]: r["mix_weight"] for r in partial}.values()])
@@ -420,6 +427,8 @@ def test_line_dedup(spark):
     docs = table(spark, texts).withColumn("at", F.lit(1)).withColumn("line", F.lit("l"))
     got = [(r["text"], r["n_exact"], r["n_near"]) for r in line_dedup.without_repeated_lines(docs).orderBy("doc_id").collect()]
     assert got == brute_lines(texts)
+    clash = docs.withColumns({c: F.lit("c") for c in ("__k", "__gone", "__doc", "__map", "k", "gone", "exact", "near", "n_lines", "n_near", "h1", "halves")})
+    assert [(r["text"], r["n_exact"], r["n_near"]) for r in line_dedup.without_repeated_lines(clash).orderBy("doc_id").collect()] == got
     assert line_dedup.without_repeated_lines(docs.where("doc_id < 0")).count() == 0
 
 
