@@ -39,6 +39,12 @@ from gleanery.llm.components import components
 LONG_RUN = 3
 COUNTS = 256
 SAMPLE_ONE_IN = 16
+#: Tokens that the driver and the workers hold as frequent at most: 8 MB. They only order tokens.
+MOST_FREQUENT = 1 << 19
+#: Prefix tokens that a task holds at once, on average.
+PART_TOKENS = 1 << 20
+#: Rows of one group are dealt over so many tasks where they meet the group's size.
+SALTS = 16
 #: A count that has come so far may stand for more.
 TOP = 255
 
@@ -79,7 +85,16 @@ def _frequent(docs: DataFrame, sample_docs: int, least: int) -> np.ndarray:
                 tokens, times = np.unique(np.concatenate(own), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(times)], names=["t", "c"])
 
-    rows = sample.select("k", "t").mapInArrow(count, "t bigint, c bigint").groupBy("t").agg(F.sum("c").alias("c")).where(F.col("c") >= least).orderBy(F.desc("c"), "t").limit(1 << 19).toPandas()
+    found = stash(sample.select("k", "t").mapInArrow(count, "t bigint, c bigint").groupBy("t").agg(F.sum("c").alias("c")).where(F.col("c") >= least))
+    # the least count that MOST_FREQUENT tokens or fewer reach, from the number of tokens of each count: no task puts all in order
+    left, cut = MOST_FREQUENT, 1 << 62
+    for r in found.groupBy("c").agg(F.count(F.lit(1)).alias("tokens")).orderBy(F.desc("c")).collect():
+        left -= r["tokens"]
+        if left < 0:
+            break
+        cut = r["c"]
+    rows = found.where(F.col("c") >= F.lit(cut)).toPandas()
+    unstash(found)
     out = np.stack([rows["t"].to_numpy(np.int64).view(np.uint64), rows["c"].to_numpy(np.int64).astype(np.uint64)]) if len(rows) else np.zeros((2, 0), np.uint64)
     return out[:, np.argsort(out[0])]
 
@@ -346,7 +361,9 @@ def _opened(entries: DataFrame, groups: DataFrame, counts: DataFrame, per_cent:
     matrix = e.groupBy("t", "g").agg(F.max(rest).alias("most"), F.min("n").alias("least"))
     size = e.select("g", "a").distinct().groupBy("g").agg(F.count(F.lit(1)).alias("size"), F.min("a").alias("sole"))
     matrix = matrix.join(size.select("g", "size"), "g")
-    q = e.join(size.select("g", "size"), "g").select("a", "t", "n", "q", "g", "size")
+    # a group may hold a third of all rows: it is dealt over SALTS tasks
+    salted = size.select("g", "size", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    q = e.withColumn("salt", F.pmod(F.xxhash64("a", "t"), F.lit(SALTS)).cast("int")).join(salted, ["g", "salt"]).select("a", "t", "n", "q", "g", "size")
     m = matrix.select("t", F.col("g").alias("og"), F.col("size").alias("osize"), "most", "least")
     ask = q.join(m, "t").where((F.struct("size", "g") < F.struct("osize", "og")) & (F.least(F.col("n") - F.col("q"), F.col("most")) * (100 + per_cent) >= per_cent * (F.col("n") + F.greatest(F.col("least"), F.ceil(F.col("n") * per_cent / 100)))))
     held = stash(ask.where("osize > 1").select("a", "t", "n", "q", "og"))  # the tokens at which a group of several may open
@@ -406,7 +423,7 @@ def _bounded_groups(asked: DataFrame, per_cent: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", per_cent: int = 80, sample_docs: int = 8192, sample_least: int = 3) -> DataFrame:
-    """key, n_shingles, component_id of each row, and n_links: how many verified links its class has (of a group's links those that were candidates, a lower bound)."""
+    """key, n_shingles, component_id of each row. Links within a group that don't change it aren't all tested, so their number isn't given."""
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{key}`").cast("bigint").alias("k"), F.col(f"`{text}`").alias("t"))
@@ -420,7 +437,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     whole, scanned = scanned, stash(scanned.select("k", *identity))
     unstash(whole)
     free_shuffles(spark)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    tokens = classes.agg(F.sum(F.octet_length("rare"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // (8 * PART_TOKENS)), 1)
     found = stash(_runs(_packed(classes, parts), parts, per_cent))
     entries = stash(_entries(classes).unionByName(found.where("t is not null").select("a", "t", "n", "q")).distinct())
     prefixes, classes = classes, stash(classes.select("k", "n", "counts"))
@@ -435,8 +453,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     if more.limit(1).count():
         links = stash(links.unionByName(_verified(more, classes, rows, per_cent)).distinct())
         groups = components(links)
-    both = links.select("a").unionByName(links.select(F.col("b").alias("a")))
-    per = both.groupBy(F.col("a").alias("class")).agg(F.count(F.lit(1)).alias("n_links"))
-    known = least.join(groups, F.col("class") == F.col("id"), "left").join(per, "class", "left")
-    out = scanned.select("k", *identity).join(known.select(*identity, F.coalesce("component", "class").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), identity, "left")
-    return out.select(F.col("k").alias(key), F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("component_id", "k").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    known = least.join(groups, F.col("class") == F.col("id"), "left")
+    out = scanned.select("k", *identity).join(known.select(*identity, F.coalesce("component", "class").alias("component_id")), identity, "left")
+    for done in (classes, found, entries, pairs, more, links):
+        unstash(done)
+    return out.select(F.col("k").alias(key), F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("component_id", "k").alias("component_id"))

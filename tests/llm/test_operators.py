@@ -351,6 +351,15 @@ def test_jaccard_components(spark, monkeypatch, long_run):
     assert ngram_jaccard.jaccard_components(table(spark, texts).where("doc_id < 0")).count() == 0
 
 
+def test_jaccard_of_repeated_ids_and_long_texts(spark):
+    rng = random.Random(12)
+    long = [str(rng.randrange(10**6)) for _ in range(120_000)]
+    other = long[:60_000] + ["x"] * 3 + long[60_000:]
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "g h i j k l"), (2, "g h i j k l"), (3, " ".join(long)), (4, " ".join(other)), (None, "a b c d e f"), (5, None)]
+    got = sorted(map(tuple, ngram_jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(1, 2, 1), (1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 119_996, 3), (4, 119_999, 3), (None, 2, 1), (5, 0, 5)], key=str)
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99), (5, 5)], "a long, b long")
     got = dict(map(tuple, components.components(links).collect()))
