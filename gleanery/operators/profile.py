@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,36 +71,49 @@ def exact_duplicate_summary(docs: DataFrame) -> DataFrame:
 # ---- near duplicates of embeddings ----
 
 
-def near_edges(vectors: DataFrame, threshold: float = 0.92) -> DataFrame:
-    """a, b, score: pairs a < b with at least that cosine. Exact, hence all pairs, in blocks where the table is large."""
-    u = vectors.select("doc_id", V.unit(V.doubles(F.col("embedding"))).alias("v"))
-    pairs = compared(u.select(F.col("doc_id").alias("a"), F.col("v").alias("va")), u.select(F.col("doc_id").alias("b"), F.col("v").alias("vb"))).where("a < b")
-    return pairs.select("a", "b", V.dot(F.col("va"), F.col("vb")).alias("score")).where(F.round("score", 9) >= threshold)
+def near_edges(vectors: DataFrame, threshold: float = 0.92, block: int = 2048) -> DataFrame:
+    """a, b, score: pairs a < b with at least that cosine. Exact, hence all pairs: blocks of about `block` vectors meet two by two, each meeting one matrix product."""
+    blocks = max(1, -(-vectors.count() // block))
+    u = vectors.select("doc_id", V.unit(V.doubles(F.col("embedding"))).alias("v"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("b")).where("v is not null")
+    sent = u.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "doc_id", "v")
+    kind = vectors.schema["doc_id"].dataType.simpleString()
 
+    def meet(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        ids, side = group.column("doc_id"), group.column("b").to_numpy()
+        first, last = np.flatnonzero(side == group.column("i")[0].as_py()), np.flatnonzero(side == group.column("j")[0].as_py())
+        m = np.stack(group.column("v").to_numpy())
+        scores = m[first] @ m[last].T
+        x, y = np.nonzero(np.round(scores, 9) >= threshold)
+        a, b = ids.take(pa.array(first[x])), ids.take(pa.array(last[y]))
+        out = pa.table({"a": pc.if_else(pc.less(a, b), a, b), "b": pc.if_else(pc.less(a, b), b, a), "score": pa.array(scores[x, y])})
+        # inside a block each pair is met twice, and each vector meets itself
+        return out.filter(pc.less(a, b) if group.column("i")[0] == group.column("j")[0] else pc.not_equal(a, b))
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """id, component (the least id reached) of all ids in edges: least labels with pointer jumping, each round's result checkpointed where executors can't lose it."""
+    return sent.groupBy("i", "j").applyInArrow(meet, f"a {kind}, b {kind}, score double")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """id, component (the least id reached) of all ids in edges: least labels with pointer jumping until none changes, each round's result checkpointed where executors can't lose it."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = _saved(both)
     labels = _saved(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")).select(F.col("a").alias("id"), "c"))
-    for _ in range(max_rounds):
+    while True:
         near = both.join(labels.withColumnsRenamed({"id": "b"}), "b").groupBy("a").agg(F.min("c").alias("m"))
         step = labels.join(near, labels["id"] == near["a"]).select("id", F.col("c").alias("was"), F.least("c", "m").alias("c"))
         top = labels.select(F.col("id").alias("t"), F.col("c").alias("tc"))
         step = _saved(step.join(top, F.col("c") == F.col("t")).select("id", "was", F.least("c", "tc").alias("c")))
         labels = step.select("id", "c")
         if not step.where("c < was").limit(1).count():
-            break
-    return labels.withColumnRenamed("c", "component")
+            return labels.withColumnRenamed("c", "component")
 
 
 def _saved(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder the session names; one of our own only where none is named."""
-    import tempfile
-
-    sc = df.sparkSession.sparkContext
+    """A checkpoint in the folder the session names; in the warehouse, which all nodes share, where none is named."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints")
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
     return df.checkpoint()
 
 
@@ -105,8 +121,10 @@ def near_duplicate_groups(vectors: DataFrame, threshold: float = 0.92) -> DataFr
     """component, size, mean_similarity (over all pairs within), medoid (greatest mean likeness to the rest, ties to the smaller id)."""
     labels = components(near_edges(vectors, threshold))
     u = vectors.select("doc_id", V.unit(V.doubles(F.col("embedding"))).alias("v")).join(labels, F.col("doc_id") == F.col("id"))
-    pairs = u.select("component", F.col("doc_id").alias("a"), F.col("v").alias("va")).join(u.select("component", F.col("doc_id").alias("b"), F.col("v").alias("vb")), "component").where("a <> b").select("component", "a", V.dot(F.col("va"), F.col("vb")).alias("s"))
-    per = pairs.groupBy("component", "a").agg(F.avg("s").alias("m"))
+    # a member's mean likeness to the rest follows from the group's sum vector, so no pairs are made
+    total = u.select("component", F.posexplode("v").alias("i", "x")).groupBy("component", "i").agg(F.sum("x").alias("x"), F.count(F.lit(1)).alias("n"))
+    total = total.groupBy("component").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda t: t["x"]).alias("sum"), F.max("n").alias("n"))
+    per = u.join(total, "component").select("component", F.col("doc_id").alias("a"), ((V.dot(F.col("v"), F.col("sum")) - V.dot(F.col("v"), F.col("v"))) / (F.col("n") - 1)).alias("m"))
     return per.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.avg("m").alias("mean_similarity"), F.min_by("a", F.struct(-F.round("m", 9), "a")).alias("medoid"))
 
 
@@ -123,10 +141,9 @@ def sampled(vectors: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return vectors.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(n)
 
 
-def pairwise_stats(vectors: DataFrame, sample_above: int = 2000, sample: int = 1000) -> DataFrame:
-    """One row: n, mean and median inner product of pairs; of a hash sample, if there are many rows."""
-    n = vectors.count()
-    v = (sampled(vectors, sample) if n > sample_above else vectors).select("doc_id", V.doubles(F.col("embedding")).alias("v"))
+def pairwise_stats(vectors: DataFrame, sample: int | None = None) -> DataFrame:
+    """One row: n, mean and median inner product of all pairs; of those of a hash sample of so many rows, if that is asked for."""
+    v = (vectors if sample is None else sampled(vectors, sample)).select("doc_id", V.doubles(F.col("embedding")).alias("v"))
     pairs = compared(v.select(F.col("doc_id").alias("a"), F.col("v").alias("va")), v.select(F.col("doc_id").alias("b"), F.col("v").alias("vb"))).where("a < b").select(V.dot(F.col("va"), F.col("vb")).alias("s"))
     return pairs.agg(F.avg("s").alias("mean_dot"), F.percentile("s", F.lit(0.5)).alias("median_dot"), F.count(F.lit(1)).alias("n_pairs"))
 
@@ -237,13 +254,13 @@ def audit(docs: DataFrame, vectors: DataFrame | None = None, near_threshold: flo
     c = F.col
     bad = (c("n") == 0) | (c("empty_count") > 0) | (c("duplication_ratio") > 0.20) | F.coalesce(c("near_ratio") > 0.30, F.lit(False)) | F.coalesce(c("coverage_rate") < 0.5, F.lit(False))
     pc = lambda x: F.format_string("%.1f%%", x * 100)
-    notes = F.when(c("n") == 0, F.array(F.lit("Corpus is empty — index at least one document before auditing."))).otherwise(F.filter(F.array(
-        F.when(c("empty_count") > 0, F.concat(c("empty_count").cast("string"), F.lit(" empty document(s) found — drop or backfill before indexing."))),
-        F.when(c("very_short_count") > 0, F.concat(c("very_short_count").cast("string"), F.lit(" very short document(s) (< 20 chars) — consider merging with neighbours."))),
-        F.when(c("very_long_count") > 0, F.concat(c("very_long_count").cast("string"), F.lit(" very long document(s) (> 4000 chars) — chunk before encoding."))),
-        F.when(c("duplication_ratio") > 0.05, F.concat(F.lit("Exact-duplicate ratio "), pc(c("duplication_ratio")), F.lit(" — deduplicate to cut embedding cost and index size."))),
-        F.when(c("near_ratio") > 0.20, F.concat(F.lit("Near-duplicate ratio "), pc(c("near_ratio")), F.lit(f" at ≥{near_threshold:.2f} cosine — consider semantic dedup or MMR diversification."))),
-        F.when(c("hapax_ratio") > 0.6, F.concat(F.lit("Hapax ratio "), pc(c("hapax_ratio")), F.lit(" — heavy domain vocabulary, a domain-tuned encoder may outperform the default."))),
-        F.when(c("coverage_rate") < 0.6, F.concat(F.lit("Only "), pc(c("coverage_rate")), F.lit(" of queries have a covered answer — expand the corpus or rewrite ambiguous queries."))),
+    notes = F.when(c("n") == 0, F.array(F.lit("No documents to audit."))).otherwise(F.filter(F.array(
+        F.when(c("empty_count") > 0, F.concat(c("empty_count").cast("string"), F.lit(" documents have no text: fill them in or leave them out of the index."))),
+        F.when(c("very_short_count") > 0, F.concat(c("very_short_count").cast("string"), F.lit(" documents are under 20 characters: join them to others."))),
+        F.when(c("very_long_count") > 0, F.concat(c("very_long_count").cast("string"), F.lit(" documents are over 4000 characters: cut them into chunks."))),
+        F.when(c("duplication_ratio") > 0.05, F.concat(pc(c("duplication_ratio")), F.lit(" of documents repeat another word for word: remove the copies."))),
+        F.when(c("near_ratio") > 0.20, F.concat(pc(c("near_ratio")), F.lit(f" of vectors are within a cosine of {near_threshold:.2f} of another: thin them out, or diversify results."))),
+        F.when(c("hapax_ratio") > 0.6, F.concat(pc(c("hapax_ratio")), F.lit(" of terms occur once: an encoder of that domain may do better."))),
+        F.when(c("coverage_rate") < 0.6, F.concat(pc(c("coverage_rate")), F.lit(" of queries find an answer: add documents, or reword the queries."))),
     ), lambda x: x.isNotNull()))
     return row.withColumn("status", F.when(bad, "needs_attention").otherwise("ready")).withColumn("notes", notes)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,12 +41,15 @@ def metric_history(metrics: DataFrame, run_id: str, key: str) -> DataFrame:
 
 def lineage(runs: DataFrame, run_id: str, max_depth: int = 100) -> DataFrame:
     """depth, run_id from a run up to its first ancestor; a cycle ends at the depth guard."""
-    runs.createOrReplaceTempView("__gleanery_runs")
-    return runs.sparkSession.sql(
-        "WITH RECURSIVE up(depth, run_id, parent_run_id) AS (SELECT 0, run_id, parent_run_id FROM __gleanery_runs WHERE run_id = :id UNION ALL "
-        f"SELECT depth + 1, r.run_id, r.parent_run_id FROM up JOIN __gleanery_runs r ON r.run_id = up.parent_run_id WHERE depth < {int(max_depth)}) SELECT depth, run_id FROM up",
+    view = f"runs_{uuid.uuid4().hex}"
+    runs.createOrReplaceTempView(view)
+    out = runs.sparkSession.sql(
+        f"WITH RECURSIVE up(depth, run_id, parent_run_id) AS (SELECT 0, run_id, parent_run_id FROM {view} WHERE run_id = :id UNION ALL "
+        f"SELECT depth + 1, r.run_id, r.parent_run_id FROM up JOIN {view} r ON r.run_id = up.parent_run_id WHERE depth < {int(max_depth)}) SELECT depth, run_id FROM up",
         args={"id": run_id},
     )
+    runs.sparkSession.catalog.dropTempView(view)  # the plan is resolved by now
+    return out
 
 
 def by_name(runs: DataFrame, name: str) -> DataFrame:

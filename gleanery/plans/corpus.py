@@ -85,7 +85,7 @@ def embedding_centroid(spark, sf):
 
 @query(f"WITH {VEC}, p AS (SELECT list_dot_product(a.v, b.v) AS s FROM e a, e b WHERE a.doc_id < b.doc_id) SELECT {r('avg(s)')} AS mean_dot, {r('quantile_cont(s, 0.5)')} AS median_dot, count(*) AS n_pairs FROM p")
 def pairwise_stats(spark, sf):
-    return P.pairwise_stats(vectors(spark, sf), sample_above=1 << 60)
+    return P.pairwise_stats(vectors(spark, sf))
 
 
 @query(f"WITH {VEC}, run AS ({ranked_sql('SELECT a.doc_id AS query_id, b.doc_id, list_dot_product(a.v, b.v) AS score FROM e a, e b WHERE a.doc_id <> b.doc_id', 10)}), n AS (SELECT e.doc_id, count(run.query_id)::DOUBLE AS n FROM e LEFT JOIN run ON run.doc_id = e.doc_id GROUP BY 1), m AS (SELECT avg(n) AS m FROM n) SELECT {r('avg(pow(n - m, 3)) / pow(sqrt(avg(pow(n - m, 2))), 3)')} AS hubness_skewness, max(n)::BIGINT AS max_in_degree FROM n, m")

@@ -137,8 +137,8 @@ def clear_index(spark: SparkSession, path: str) -> None:
 
 
 def save_report(report: DataFrame, path: str, title: str = "Report") -> None:
-    """A small report on the driver's disk: .json as rows, .md as a table."""
-    rows = [json.loads(r) for r in report.toJSON().take(10_000)]
+    """A report, whole, on the driver's disk: .json as rows, .md as a table."""
+    rows = [json.loads(r) for r in report.toJSON().toLocalIterator()]
     if path.endswith(".md"):
         cols = report.columns
         body = "\n".join("| " + " | ".join(str(r.get(c, "")) for c in cols) + " |" for r in rows)
