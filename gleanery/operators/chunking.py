@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
@@ -26,23 +26,26 @@ def chunk_text(docs: DataFrame, max_words: int = 180, overlap_words: int = 30, s
 
 
 def markdown_sections(docs: DataFrame, source: str = "doc_id", text: str = "text") -> DataFrame:
-    """source, section_no (from 1), heading, level, body: headings start sections; lines are stripped. All within a row: a fold over its lines."""
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), r"\r\n|\n|\r")
+    """source, section_no (from 1), heading, level, body: headings start sections; lines are stripped. All within a row, each line copied once: sections are the slices between headings."""
     head = r"^(#{1,6})\s+(.+?)\s*$"
-    marked = F.transform(lines, lambda x: F.struct(x.alias("line"), x.rlike(head).alias("is_head")))
-    kind = "array<struct<heading:string,level:int,lines:array<string>>>"
-
-    def step(acc: Column, x: Column) -> Column:
-        new = F.struct(F.trim(F.regexp_extract(x["line"], head, 2)).alias("heading"), F.length(F.regexp_extract(x["line"], head, 1)).alias("level"), F.array().cast("array<string>").alias("lines"))
-        last = F.element_at(acc, -1)
-        more = F.struct(last["heading"].alias("heading"), last["level"].alias("level"), F.concat(last["lines"], F.array(F.trim(x["line"]))).alias("lines"))
-        return F.when(x["is_head"], F.concat(acc, F.array(new))).otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(more))).cast(kind)
-
-    start = F.array(F.struct(F.lit(None).cast("string").alias("heading"), F.lit(None).cast("int").alias("level"), F.array().cast("array<string>").alias("lines"))).cast(kind)
-    found = docs.select(source, F.posexplode(F.aggregate(marked, start, step)).alias("n", "s"))
-    body = F.regexp_replace(F.array_join("s.lines", "\n"), r"^\s+|\s+$", "")
-    out = found.select(source, "n", "s.heading", "s.level", body.alias("body")).where("body <> '' or heading is not null")
-    return out.withColumn("section_no", F.row_number().over(Window.partitionBy(source).orderBy("n"))).drop("n")
+    lines = docs.select(source, F.split(F.coalesce(F.col(text), F.lit("")), r"\r\n|\n|\r").alias("l"))
+    at = F.filter(F.transform("l", lambda x, i: F.when(x.rlike(head), i + 1)), lambda i: i.isNotNull())
+    cuts = lines.select(source, "l", F.concat(F.array(F.lit(0)), at, F.array(F.size("l") + 1)).alias("cut"))
+
+    def section(i: Column) -> Column:
+        start, end = F.get("cut", i), F.get("cut", i + 1)
+        title = F.get("l", start - 1)  # null before the first heading
+        body = F.array_join(F.transform(F.slice("l", start + 1, end - start - 1), lambda x: F.trim(x)), "\n")
+        return F.struct(
+            F.trim(F.regexp_extract(title, head, 2)).alias("heading"),
+            F.length(F.regexp_extract(title, head, 1)).alias("level"),
+            F.regexp_replace(body, r"^\s+|\s+$", "").alias("body"),
+        )
+
+    all_ = F.transform(F.sequence(F.lit(0), F.size("cut") - 2), section)
+    kept = F.filter(all_, lambda s: (s["body"] != "") | s["heading"].isNotNull())
+    found = cuts.select(source, F.posexplode(kept).alias("n", "s"))
+    return found.select(source, "s.heading", "s.level", "s.body", (F.col("n") + 1).alias("section_no"))
 
 
 def chunk_markdown(docs: DataFrame, max_words: int = 180, overlap_words: int = 30, source: str = "doc_id", text: str = "text", include_heading: bool = True) -> DataFrame:

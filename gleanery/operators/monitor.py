@@ -206,11 +206,17 @@ def stage_latency(samples: DataFrame) -> DataFrame:
 
 
 def latency_quantiles(samples: DataFrame) -> DataFrame:
-    """stage, p50, p95, p99, mean, min, max, std: quantiles without interpolation (the upper neighbour), p95 and p99 the maximum below 20 and 100 samples. Each sample is ranked in its stage; no list of them is built."""
+    """stage, p50, p95, p99, mean, min, max, std: quantiles without interpolation (the upper neighbour), p95 and p99 the maximum below 20 and 100 samples. Equal samples are counted before any are ranked, so only distinct values are sorted in a stage."""
     w = Window.partitionBy("stage")
-    r = samples.withColumn("i", F.row_number().over(w.orderBy("ms")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
-    at = lambda p: F.max(F.when(F.col("i") == F.floor(F.col("n") * F.lit(p)), F.col("ms")))
-    return r.groupBy("stage").agg(at(0.50).alias("p50"), F.when(F.max("n") >= 20, at(0.95)).otherwise(F.max("ms")).alias("p95"), F.when(F.max("n") >= 100, at(0.99)).otherwise(F.max("ms")).alias("p99"), F.avg("ms").alias("mean"), F.min("ms").alias("min"), F.max("ms").alias("max"), F.coalesce(F.stddev_samp("ms"), F.lit(0.0)).alias("std"))
+    whole = samples.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.avg("ms").alias("mean"), F.min("ms").alias("min"), F.max("ms").alias("max"), F.coalesce(F.stddev_samp("ms"), F.lit(0.0)).alias("std"))
+    r = samples.groupBy("stage", "ms").agg(F.count(F.lit(1)).alias("c"))
+    r = r.withColumn("upto", F.sum("c").over(w.orderBy("ms"))).withColumn("n", F.sum("c").over(w))
+    place = lambda p: F.floor(F.col("n") * F.lit(p))
+    at = lambda p: F.max(F.when((place(p) >= F.col("upto") - F.col("c")) & (place(p) < F.col("upto")), F.col("ms")))
+    at = r.groupBy("stage").agg(at(0.50).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+    tail = lambda p, least: F.when(F.col("n") >= least, F.col(p)).otherwise(F.col("max")).alias(p)
+    same = F.col("w.stage").eqNullSafe(F.col("q.stage"))
+    return whole.alias("w").join(at.alias("q"), same).select("w.stage", "p50", tail("p95", 20), tail("p99", 100), "mean", "min", "max", "std")
 
 
 BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)

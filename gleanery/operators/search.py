@@ -16,21 +16,48 @@ from pyspark.sql import functions as F
 from gleanery.functions import text as T
 from gleanery.functions import vector as V
 
-#: Queries (or centroids) that are broadcast; beyond, the comparison is dealt over a grid of blocks.
+#: Queries (or centroids) that are broadcast; beyond these rows or bytes the comparison is dealt over a grid of blocks.
 BROADCAST_ROWS = 4096
+BROADCAST_BYTES = 32 << 20
 
 
-def compared(left: DataFrame, right: DataFrame, max_rows: int = BROADCAST_ROWS, block_rows: int = 2048) -> DataFrame:
-    """All pairs of rows of two tables. The right side is broadcast if a count shows it to be small, else cut in blocks by hash that the left side visits: each task holds one block, whatever the sizes."""
-    n = right.limit(max_rows + 1).count()
-    if n <= max_rows:
+def _size(rows: DataFrame) -> tuple[int, int]:
+    """Rows and bytes of a table, the bytes as JSON would have them."""
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])))), F.lit(0))).first()
+    return n, size
+
+
+def compared(left: DataFrame, right: DataFrame, max_rows: int = BROADCAST_ROWS, block_rows: int = 2048, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """All pairs of rows of two tables. The right side is broadcast if its rows and bytes, both counted, are few, else cut in blocks by hash that the left side visits: each task holds one block, whatever the sizes."""
+    n, size = _size(right.limit(max_rows + 1))
+    if n <= max_rows and size <= max_bytes:
         return left.crossJoin(F.broadcast(right))
-    blocks = -(-right.count() // block_rows)
+    n, size = _size(right)
+    blocks = max(-(-n // block_rows), -(-2 * size // max_bytes))
     r = right.withColumn("__b", F.pmod(F.xxhash64(*right.columns), F.lit(blocks)))
     lft = left.withColumn("__b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
     return lft.join(r, "__b").drop("__b")
 
 
+#: Words of the run by which `containing` finds candidates.
+RUN_WORDS = 5
+
+
+def containing(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "query_id", phrase: str = "query") -> DataFrame:
+    """key, item of documents whose text contains an item's phrase verbatim. A phrase's inner words (all but the first and last) are whole words of such a text, so documents and items meet at the hash of their first RUN_WORDS inner words and are then verified; only phrases with fewer inner words are compared with every document."""
+    words = lambda c: F.split(F.col(c), r"\s+")
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - RUN_WORDS + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, RUN_WORDS), " ")))
+    d = docs.select(F.col(key).alias("__d"), F.col(text).alias("__t"))
+    i = items.select(F.col(item).alias("__i"), F.col(phrase).alias("__p")).where("__p is not null").withColumn("__w", words("__p"))
+    long = F.size("__w") >= RUN_WORDS + 2
+    asked = i.where(long).select("__i", "__p", F.xxhash64(F.array_join(F.slice("__w", 2, RUN_WORDS), " ")).alias("__h"))
+    met = d.select("__d", words("__t").alias("__w")).where(F.size("__w") >= RUN_WORDS).select("__d", F.explode(F.array_distinct(runs(F.col("__w")))).alias("__h"))
+    met = met.join(asked, "__h").select("__d", "__i", "__p").distinct()
+    near = met.join(d, "__d").where(F.contains("__t", "__p")).select("__d", "__i")
+    short = compared(d, i.where(~long).select("__i", "__p")).where(F.contains("__t", "__p")).select("__d", "__i")
+    return near.unionByName(short).distinct().select(F.col("__d").alias(key), F.col("__i").alias(item))
+
+
 def ranked(scored: DataFrame, k: int | None, by: tuple[str, ...] = ("query_id",), score: str = "score", tie: str = "doc_id") -> DataFrame:
     """With rank, cut to the first k of each query: Spark limits each group before it shuffles."""
     w = Window.partitionBy(*by).orderBy(F.round(F.col(score), 9).desc(), F.col(tie))

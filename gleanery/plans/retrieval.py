@@ -255,7 +255,8 @@ def kmeans_fit(spark, sf):
 def explained_pairs(spark, sf) -> DataFrame:
     q = benchmark(spark, sf)
     d = documents(spark, sf).select("doc_id", "text")
-    return S.compared(d, q).where(F.contains("text", "query")).groupBy("query_id", "query").agg(F.min_by("text", "doc_id").alias("text"), F.min("doc_id").alias("doc_id"))
+    first = S.containing(d, q).groupBy("query_id").agg(F.min("doc_id").alias("doc_id"))
+    return q.join(first, "query_id").join(d, "doc_id").select("query_id", "query", "text", "doc_id")
 
 
 def hash_encoder(text):

@@ -105,3 +105,19 @@ def test_index_round_trip(spark, tmp_path):
 def test_lineage_survives_cycles(spark):
     r = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a")], "run_id string, parent_run_id string")
     assert R.lineage(r, "c", 3).count() == 4
+
+
+def test_markdown_sections_of_one_row(spark):
+    from gleanery.operators.chunking import markdown_sections
+
+    docs = spark.createDataFrame([(1, "pre\n# A \nx \n  y\n## B\n\n# C\nz"), (2, ""), (3, None), (4, "# only"), (5, "#x\n###### six\r\nq")], "doc_id int, text string")
+    got = [tuple(r) for r in markdown_sections(docs).orderBy("doc_id", "section_no").collect()]
+    assert got == [(1, None, None, "pre", 1), (1, "A", 1, "x\ny", 2), (1, "B", 2, "", 3), (1, "C", 1, "z", 4), (4, "only", 1, "", 1), (5, None, None, "#x", 1), (5, "six", 6, "q", 2)]
+
+
+def test_latency_quantiles_of_ties(spark):
+    from gleanery.operators.monitor import latency_quantiles
+
+    s = spark.createDataFrame([("a", float(v)) for v in [1, 1, 1, 2, 2, 9]] + [("b", float(v // 2)) for v in range(200)] + [(None, 3.0)], "stage string, ms double")
+    got = {r["stage"]: (r["p50"], r["p95"], r["p99"], r["max"]) for r in latency_quantiles(s).collect()}
+    assert got == {"a": (2.0, 9.0, 9.0, 9.0), "b": (50.0, 95.0, 99.0, 99.0), None: (3.0, 3.0, 3.0, 3.0)}

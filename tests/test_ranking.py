@@ -135,3 +135,17 @@ def test_registered_over_the_whole_job(spark, monkeypatch):
     monkeypatch.setattr(retrieval.S, "kmeans", lambda *args, **kw: asked.append(kw) or fit(*args, n_init=1, max_iter=1))
     retrieval.kmeans_fit(spark, sf)
     assert asked[1] == {}
+
+
+def test_containing_and_compared_by_bytes(spark):
+    from pyspark.sql import functions as F
+
+    from gleanery.operators import search as S
+
+    d = spark.createDataFrame([(1, "zz one two three four five six sevenish x"), (2, "ab"), (3, None), (4, "one two  three four five six seven"), (5, "")], "doc_id int, text string")
+    q = spark.createDataFrame([(1, "one two three four five six seven"), (2, "b"), (3, "e two  three four five six s"), (4, None), (5, "")], "query_id int, query string")
+    want = sorted(map(tuple, d.crossJoin(q).where(F.contains("text", "query")).select("doc_id", "query_id").collect()))
+    assert sorted(map(tuple, S.containing(d, q).collect())) == want and (1, 1) in want and (4, 3) in want
+    assert S.containing(d, q.limit(0)).count() == 0
+    pairs = {tuple(r) for r in S.compared(d, q).collect()}
+    assert {tuple(r) for r in S.compared(d, q, max_bytes=50).collect()} == pairs and len(pairs) == 25
