@@ -108,6 +108,9 @@ def dense_topk_blocks(corpus: DataFrame, queries: DataFrame, k: int = 5) -> Data
 
 # ---- lexical ----
 
+#: Stands for a document among its terms; no token is empty.
+MARK = ""
+
 
 def postings(docs: DataFrame) -> DataFrame:
     """doc_id, term, tf, dl: one pass and one shuffle; dl rides along, so no join brings it back."""
@@ -115,9 +118,9 @@ def postings(docs: DataFrame) -> DataFrame:
     return tokens.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("doc_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25_stats(docs: DataFrame, post: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def bm25_stats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(term, df, idf) and the one row n, avg_dl."""
-    post = postings(docs) if post is None else post
+    post = postings(docs)
     size = F.size(T.lexical_tokens(F.coalesce("text", F.lit(""))))
     corpus = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(size), F.lit(1.0)).alias("avg_dl"))
     terms = post.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(corpus))
@@ -127,12 +130,17 @@ def bm25_stats(docs: DataFrame, post: DataFrame | None = None) -> tuple[DataFram
 def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, fill_zero: bool = False) -> DataFrame:
     """query_id, doc_id, score. A term that a query repeats counts as often. fill_zero: documents without any of its terms too, with 0."""
     qterms = queries.select("query_id", F.explode(T.lexical_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    # only the queries' terms leave the scan: few, so the shuffle of postings is small
-    wanted = qterms.select("term").distinct()
-    tokens = docs.select("doc_id", T.lexical_tokens(F.coalesce("text", F.lit(""))).alias("t")).select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(wanted, "term", "left_semi")
+    # one pass: the queries' terms and a mark of each document leave the scan, and both statistics and scores read their exchange.
+    # The aggregates all need tf and filter nothing by term, or Spark would plan exchanges of their own.
+    wanted = qterms.select("term").unionByName(docs.sparkSession.range(1).select(F.lit(MARK).alias("term"))).distinct()
+    tokens = docs.select("doc_id", T.lexical_tokens(F.coalesce("text", F.lit(""))).alias("t")).select("doc_id", F.size("t").alias("dl"), F.explode(F.concat(F.array(F.lit(MARK)), "t")).alias("term")).join(wanted, "term", "left_semi")
     post = tokens.groupBy("doc_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    terms, corpus = bm25_stats(docs, post)
-    hits = qterms.join(terms, "term").join(post, "term").crossJoin(F.broadcast(corpus.select("avg_dl")))
+    marks = F.when(F.col("term") == MARK, F.col("tf"))
+    corpus = post.agg(F.coalesce(F.sum(marks), F.lit(0)).alias("n"), F.coalesce(F.sum(marks * F.col("dl")) / F.sum(marks), F.lit(1.0)).alias("avg_dl"))
+    df = post.groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, 1)).alias("df"))
+    terms = qterms.join(df, "term").crossJoin(F.broadcast(corpus))
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    hits = terms.select("query_id", "term", "qtf", idf.alias("idf"), "avg_dl").join(post, "term")
     part = F.col("qtf") * F.col("idf") * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
     scores = hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
     if fill_zero:
