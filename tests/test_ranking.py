@@ -149,3 +149,25 @@ def test_containing_and_compared_by_bytes(spark):
     assert S.containing(d, q.limit(0)).count() == 0
     pairs = {tuple(r) for r in S.compared(d, q).collect()}
     assert {tuple(r) for r in S.compared(d, q, max_bytes=50).collect()} == pairs and len(pairs) == 25
+
+
+def test_bm25_of_empty_rows_and_repeated_terms(spark):
+    import math
+
+    from gleanery.operators import search as S
+
+    kind = "doc_id int, text string"
+    q = spark.createDataFrame([(1, "cat cat dog"), (2, None), (3, "...")], "query_id int, query string")
+    assert S.bm25_scores(spark.createDataFrame([], kind), q).count() == 0
+    assert S.bm25_scores(spark.createDataFrame([(1, None), (2, "")], kind), q).count() == 0
+    docs = [(1, "cat sat"), (2, None), (3, "dog dog cat run"), (4, "")]
+    got = {(r["query_id"], r["doc_id"]): r["score"] for r in S.bm25_scores(spark.createDataFrame(docs, kind), q).collect()}
+    bag = {i: (t or "").split() for i, t in docs}
+    avg = sum(map(len, bag.values())) / len(bag)
+
+    def part(term, words):
+        df, tf = sum(term in w for w in bag.values()), words.count(term)
+        return math.log((len(bag) - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(words) / avg))
+
+    want = {(1, i): 2 * part("cat", w) + part("dog", w) for i, w in bag.items() if w}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
