@@ -18,7 +18,7 @@ import functools
 import heapq
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 
 from gleanery.llm.common import small_batches
 
-#: Words memoised by a Python worker; at this number the memo starts anew. Bounds memory, not results.
-MEMO_WORDS = 200_000
+#: Words memoised by a Python worker, in two generations. Bounds memory, not results.
+MEMO_WORDS = 400_000
+#: The words of a text. None holds white space, and each is found alone as it is in a text, so runs without white space are counted one by one.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def byte_letters() -> list[str]:
@@ -38,6 +40,25 @@ def byte_letters() -> list[str]:
     return [letter for _, letter in sorted([(b, chr(b)) for b in plain] + [(b, chr(256 + i)) for i, b in enumerate(other)])]
 
 
+class Memo(dict):
+    """Words' tokens, in two generations: at `most` words in the younger it becomes the older, and words met again move back. What neither has is asked of `count`."""
+
+    def __init__(self, count: Callable[[str], int], most: int):
+        self.count, self.most, self.old = count, most, {}
+
+    def __missing__(self, run: str) -> int:
+        n = self.old.get(run)
+        if n is None:
+            return self.count(run)
+        self[run] = n
+        return n
+
+    def age(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+
 class MergeCounter:
     """Counts the tokens of texts as the tokenizer file at path does, without special tokens of its own."""
 
@@ -58,12 +79,12 @@ class MergeCounter:
         if kinds != ["NFC", "Replace", "Lowercase"]:
             raise ValueError(f"{path}: this normaliser isn't known: {kinds}")
         first, second = spec["pre_tokenizer"]["pretokenizers"]
-        if (first["type"], first["behavior"], first["invert"], second["type"]) != ("Split", "Removed", True, "ByteLevel"):
+        if (first["type"], first["behavior"], first["invert"], second["type"]) != ("Split", "Removed", True, "ByteLevel") or first["pattern"]["Regex"] != WORDS:
             raise ValueError(f"{path}: this splitter isn't known")
-        self.pattern = regex.compile(first["pattern"]["Regex"], regex.V0)
+        self.pattern = regex.compile(WORDS, regex.V0)
         added = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
-        self.memo: dict[str, int] = {}
+        self.memo = Memo(self._run, MEMO_WORDS // 2)
 
     def word(self, word: str) -> int:
         """Tokens of one word: its symbols less the merges."""
@@ -100,25 +121,28 @@ class MergeCounter:
                 push(heap, (m[0], k, ids[k], new, m[1]))
         return left
 
+    def _run(self, run: str) -> int:
+        """Tokens of a run without white space that the memo hasn't. Its words enter the memo, the run of several doesn't."""
+        of = self.memo.__getitem__
+        if not (run.isascii() and run.isalpha()):
+            if run[-1] in ",." and run.isascii() and run[:-1].isalpha():
+                return of(run[:-1]) + of(run[-1])
+            words = self.pattern.findall(run)
+            if words != [run]:
+                return sum(map(of, words))
+        n = self.word(run)
+        if len(run) <= 64:
+            self.memo[run] = n
+        return n
+
     def _plain(self, text: str) -> int:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
-        words = self.pattern.findall(text.lower() if text.isascii() else _lower(text))
-        memo, total = self.memo, 0
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        try:
-            return sum(map(memo.__getitem__, words))
-        except KeyError:
-            pass
-        for w in words:
-            n = memo.get(w)
-            if n is None:
-                n = self.word(w)
-                if len(w) <= 64:
-                    memo[w] = n
-            total += n
-        return total
+        text = text.lower() if text.isascii() else _lower(text)
+        self.memo.age()
+        # split() parts at four controls too, which are words to the pattern
+        runs = self.pattern.findall(text) if any(x in text for x in "\x1c\x1d\x1e\x1f") else text.split()
+        return sum(map(self.memo.__getitem__, runs))
 
     def count(self, text: str | None) -> int:
         if not text:

@@ -142,6 +142,23 @@ def test_token_counts_equal_the_library(spark):
     assert c._windows(long, 1000) == c._plain(long)
 
 
+def test_frequent_words_are_merged_once(monkeypatch):
+    P, tokenizers = pytest.importorskip("public_tokenizers"), pytest.importorskip("tokenizers")
+    path = P.path("word_bpe_49k.json")
+    theirs = tokenizers.Tokenizer.from_file(path)
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("etaoinsé") for _ in range(9))
+    texts = [" ".join(["frequent", *(word() for _ in range(30)), "frequent, the 'll it's"]) for _ in range(100)]
+    texts += ["a\x1cb \x1d\x1e c\x1f", "a,b it's, x., ., .,' Don't.", "É. é, 1, 2.5 a1.", ",", ".", "x" * 100 + ", " + "x" * 100, "a\u2003b\u0085c"]
+    monkeypatch.setattr(token_counts, "MEMO_WORDS", 200)
+    c = token_counts.MergeCounter(path)
+    merged, word_of = [], c.word
+    monkeypatch.setattr(c, "word", lambda w: merged.append(w) or word_of(w))
+    for t in texts:
+        assert c.count(t) == len(theirs.encode(t, add_special_tokens=False).ids), t
+    assert merged.count("frequent") == merged.count("the") == 1
+
+
 # ---- 4 ----
 
 
