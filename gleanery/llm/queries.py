@@ -68,7 +68,7 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleanery.llm.mixing import mixture
     from gleanery.llm.token_counts import counted
 
-    docs = stash(counted(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), keep=("doc_id", "source")))
+    docs = stash(counted(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), keep=("doc_id", "source"), memo_words=1_000_000))
     return mixture(docs, tokens=F.col("n_tokens")).drop("n_tokens")
 
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -31,6 +32,9 @@ from gleanery.llm.common import small_batches
 MEMO_WORDS = 400_000
 #: The words of a text. None holds white space, and each is found alone as it is in a text, so runs without white space are counted one by one.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_L, _N, _S = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", "\\t-\\r \x85\xa0"
+#: The same words of lower-case Latin-1 texts, by classes written out: `re` takes less than half the time of splitting by properties, and words without their punctuation are met again more often than runs.
+LATIN_WORDS = re.compile(f"[{_L}]+|'(?:s|t|re|ve|m|ll|d)|[{_N}]|[^{_L}{_N}{_S}]+")
 
 
 def byte_letters() -> list[str]:
@@ -62,7 +66,7 @@ class Memo(dict):
 class MergeCounter:
     """Counts the tokens of texts as the tokenizer file at path does, without special tokens of its own."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo_words: int | None = None):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -84,7 +88,7 @@ class MergeCounter:
         self.pattern = regex.compile(WORDS, regex.V0)
         added = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
-        self.memo = Memo(self._run, MEMO_WORDS // 2)
+        self.memo = Memo(self._run, (memo_words or MEMO_WORDS) // 2)
 
     def word(self, word: str) -> int:
         """Tokens of one word: its symbols less the merges."""
@@ -140,6 +144,8 @@ class MergeCounter:
             text = unicodedata.normalize("NFC", text)
         text = text.lower() if text.isascii() else _lower(text)
         self.memo.age()
+        if _latin(text):
+            return sum(map(self.memo.__getitem__, LATIN_WORDS.findall(text)))
         # split() parts at four controls too, which are words to the pattern
         runs = self.pattern.findall(text) if any(x in text for x in "\x1c\x1d\x1e\x1f") else text.split()
         return sum(map(self.memo.__getitem__, runs))
@@ -173,10 +179,17 @@ def _lower(text: str) -> str:
     return text.lower()
 
 
+def _latin(text: str) -> bool:
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
+
+
 @functools.lru_cache(maxsize=2)
-def counter(path: str) -> MergeCounter:
+def counter(path: str, memo_words: int | None = None) -> MergeCounter:
     """One a Python worker."""
-    return MergeCounter(path)
+    return MergeCounter(path, memo_words)
 
 
 def token_counts(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", limit: int = 2048) -> DataFrame:
@@ -196,12 +209,12 @@ def token_counts(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_bytes bigint, n_tokens bigint, over_limit boolean")
 
 
-def counted(docs: DataFrame, tokenizer: str, name: str = "n_tokens", text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns keep of each row and, as name, the number of tokens of its text."""
+def counted(docs: DataFrame, tokenizer: str, name: str = "n_tokens", text: str = "text", keep: tuple[str, ...] = ("doc_id",), memo_words: int | None = None) -> DataFrame:
+    """The columns keep of each row and, as name, the number of tokens of its text. memo_words: how many a Python worker memoises, for MEMO_WORDS."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = counter(tokenizer)
+        c = counter(tokenizer, memo_words)
         for batch in batches:
             n = pa.array([c.count(v.as_py()) for v in batch.column(len(keep))], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], n], names=[*keep, name])

@@ -159,6 +159,23 @@ def test_frequent_words_are_merged_once(monkeypatch):
     assert merged.count("frequent") == merged.count("the") == 1
 
 
+def test_words_with_punctuation_are_met_again_without_it():
+    P, tokenizers = pytest.importorskip("public_tokenizers"), pytest.importorskip("tokenizers")
+    path = P.path("word_bpe_49k.json")
+    theirs = tokenizers.Tokenizer.from_file(path)
+    rng = random.Random(7)
+    letters = [chr(i) for i in range(256)] + list("'' \n.,stremvlld") * 8
+    texts = ["".join(rng.choice(letters) for _ in range(40)) for _ in range(2000)]
+    c = token_counts.MergeCounter(path)
+    for t in [*texts, *(f"{t} –" for t in texts)]:  # the latter aren't Latin-1
+        assert c.count(t) == len(theirs.encode(t, add_special_tokens=False).ids), t
+    c, asked = token_counts.MergeCounter(path, 1000), []
+    count = c.memo.count
+    c.memo.count = lambda run: asked.append(run) or count(run)
+    assert c.count("fire, fire. «été», fire; 'fire' " * 500) == 500 * c.count("fire, fire. «été», fire; 'fire' ")
+    assert len(asked) < 20
+
+
 # ---- 4 ----
 
 
