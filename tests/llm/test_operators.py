@@ -6,7 +6,10 @@ import io
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
+from types import SimpleNamespace
+from unittest.mock import MagicMock
 
 import numpy as np
 import pyarrow as pa
@@ -400,6 +403,24 @@ def test_components_of_a_chain(spark):
     assert got == {i: 0 for i in range(41)} | {99: 99, 100: 99}
 
 
+def test_the_filter_of_ids_stays_packed_in_workers(spark, monkeypatch):
+    wanted = list(range(0, 3000, 3))
+    on = ngram_jaccard._id_filter(spark.createDataFrame([(i,) for i in wanted], "k long"))
+    assert on.dtype == np.uint8 and len(on) * 8 == ngram_jaccard.FILTER_BITS
+    batch = pa.record_batch({"k": pa.array(range(3000), pa.int64()), "t": pa.array(["a b c d e f"] * 3000)})
+    docs = MagicMock()
+    docs.sparkSession.sparkContext.broadcast.side_effect = lambda x: SimpleNamespace(value=x)
+    docs.where.return_value.select.return_value.mapInArrow.side_effect = lambda run, _: run(iter([batch]))
+    monkeypatch.setattr(ngram_jaccard, "_id_filter", lambda _: on)
+    list(ngram_jaccard.sets_of(batch.column(1)))  # tables that stay are made
+    tracemalloc.start()
+    got = [k for x in ngram_jaccard._full_sets(docs, None) for k in x.column(0).to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(wanted) <= set(got) and len(got) < len(wanted) + 10
+    assert peak < ngram_jaccard.FILTER_BITS // 8
+
+
 # ---- 8 ----
 
 
