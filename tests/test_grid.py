@@ -63,3 +63,10 @@ def test_unusable_vectors_and_lengths(spark):
     assert got.keys() == {(a, b) for a in range(1, 5) for b in range(1, 5)} and {k for k, x in got.items() if x is not None} == {(a, b) for a in (1, 3) for b in (1, 3)}
     with pytest.raises(Exception, match="differ in length"):
         S.nearest(few.unionByName(spark.createDataFrame([(5, [1.0])], KIND)), as_queries(few), 9).collect()
+
+
+def test_hard_negatives_without_themselves(rows):
+    df, v = rows
+    pairs = df.selectExpr("doc_id as pair_id", "embedding as query_embedding", "embedding")
+    want = {(q, n): (d, (v @ v[q])[d]) for q in range(len(v)) for n, d in enumerate([d for d in first(v @ v[q], 3) if d != q][:2], 1)}
+    assert hits(S.hard_negatives(pairs, 2)) == want
