@@ -70,3 +70,10 @@ def test_hard_negatives_without_themselves(rows):
     pairs = df.selectExpr("doc_id as pair_id", "embedding as query_embedding", "embedding")
     want = {(q, n): (d, (v @ v[q])[d]) for q in range(len(v)) for n, d in enumerate([d for d in first(v @ v[q], 3) if d != q][:2], 1)}
     assert hits(S.hard_negatives(pairs, 2)) == want
+
+
+def test_hubness(rows):
+    df, v = rows
+    n = np.bincount([d for q in range(len(v)) for d in [d for d in first(v @ v[q], 5) if d != q][:4]], minlength=len(v)).astype(float)
+    r = P.hubness(df, 4).first()
+    assert r["hubness_skewness"] == pytest.approx(((n - n.mean()) ** 3).mean() / n.std() ** 3) and r["max_in_degree"] == n.max()
