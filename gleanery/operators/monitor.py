@@ -64,11 +64,10 @@ def isolation(vectors: DataFrame, reference: DataFrame) -> DataFrame:
 
 def knn_distance(vectors: DataFrame, reference: DataFrame, k: int = 10) -> DataFrame:
     """doc_id, score: the mean distance to the k nearest reference vectors (itself, at 0, if it is one of them)."""
-    from gleanery.operators.search import compared
+    from gleanery.operators.search import nearest
 
-    pairs = compared(reference.select(F.col("doc_id").alias("r"), V.doubles(F.col("embedding")).alias("rv")), vectors.select("doc_id", V.doubles(F.col("embedding")).alias("v")))
-    d = pairs.select("doc_id", "r", V.distance(F.col("v"), F.col("rv")).alias("d"))
-    w = Window.partitionBy("doc_id").orderBy("d", "r")
+    d = nearest(reference, vectors.select(F.col("doc_id").alias("query_id"), "embedding"), k, distance=True).select(F.col("query_id").alias("doc_id"), F.col("doc_id").alias("r"), F.col("score").alias("d"))
+    w = Window.partitionBy("doc_id").orderBy(F.asc_nulls_last("d"), "r")
     return d.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).groupBy("doc_id").agg(F.avg("d").alias("score"))
 
 

@@ -77,3 +77,11 @@ def test_hubness(rows):
     n = np.bincount([d for q in range(len(v)) for d in [d for d in first(v @ v[q], 5) if d != q][:4]], minlength=len(v)).astype(float)
     r = P.hubness(df, 4).first()
     assert r["hubness_skewness"] == pytest.approx(((n - n.mean()) ** 3).mean() / n.std() ** 3) and r["max_in_degree"] == n.max()
+
+
+def test_knn_distance(rows, spark):
+    df, v = rows
+    some = df.where("doc_id % 3 = 0")
+    want = [np.sort(np.sqrt(((v[::3] - x) ** 2).sum(1)))[:4].mean() for x in v]
+    got = {r["doc_id"]: r["score"] for r in MO.knn_distance(df, some, 4).collect()}
+    assert [got[i] for i in range(len(v))] == pytest.approx(want, abs=1e-9)
