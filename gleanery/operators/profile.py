@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
 from gleanery.functions import vector as V
-from gleanery.operators.search import compared, ranked
+from gleanery.operators.search import TILE, compared, grid_block, grid_blocks, matrix, ranked, usable
 
 
 def length_stats(docs: DataFrame, short: int = 20, long: int = 4000) -> DataFrame:
@@ -71,26 +73,42 @@ def exact_duplicate_summary(docs: DataFrame) -> DataFrame:
 # ---- near duplicates of embeddings ----
 
 
-def near_edges(vectors: DataFrame, threshold: float = 0.92, block: int = 2048) -> DataFrame:
-    """a, b, score: pairs a < b with at least that cosine. Exact, hence all pairs: blocks of about `block` vectors meet two by two, each meeting one matrix product."""
-    blocks = max(1, -(-vectors.count() // block))
-    u = vectors.select("doc_id", V.unit(V.doubles(F.col("embedding"))).alias("v"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("b")).where("v is not null")
-    sent = u.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "doc_id", "v")
+def near_edges(vectors: DataFrame, threshold: float = 0.92) -> DataFrame:
+    """a, b, score: pairs a < b with at least that cosine. Exact, hence all pairs: blocks of vectors meet two by two, by matrix products of their tiles."""
+    u = vectors.select("doc_id", V.unit(V.doubles(F.col("embedding"))).alias("v")).where("v is not null")
     kind = vectors.schema["doc_id"].dataType.simpleString()
 
-    def meet(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        ids, side = group.column("doc_id"), group.column("b").to_numpy()
-        first, last = np.flatnonzero(side == group.column("i")[0].as_py()), np.flatnonzero(side == group.column("j")[0].as_py())
-        m = np.stack(group.column("v").to_numpy())
-        scores = m[first] @ m[last].T
-        x, y = np.nonzero(np.round(scores, 9) >= threshold)
-        a, b = ids.take(pa.array(first[x])), ids.take(pa.array(last[y]))
-        out = pa.table({"a": pc.if_else(pc.less(a, b), a, b), "b": pc.if_else(pc.less(a, b), b, a), "score": pa.array(scores[x, y])})
-        # inside a block each pair is met twice, and each vector meets itself
-        return out.filter(pc.less(a, b) if group.column("i")[0] == group.column("j")[0] else pc.not_equal(a, b))
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for same, ids, first, last, scores in pair_tiles(pa.Table.from_batches(batches)):
+            x, y = np.nonzero(scores >= threshold - 1e-9)
+            keep = np.round(scores[x, y], 9) >= threshold
+            x, y = x[keep], y[keep]
+            a, b = ids.take(pa.array(first[x])), ids.take(pa.array(last[y]))
+            out = pa.table({"a": pc.if_else(pc.less(a, b), a, b), "b": pc.if_else(pc.less(a, b), b, a), "score": pa.array(scores[x, y])})
+            # inside a block each pair is met twice, and each vector meets itself
+            yield from out.filter(pc.less(a, b) if same else pc.not_equal(a, b)).combine_chunks().to_batches()
+
+    return block_pairs(u)[0].applyInArrow(meet, f"a {kind}, b {kind}, score double")
+
+
+def block_pairs(rows: DataFrame) -> tuple[GroupedData, int]:
+    """doc_id and v dealt to the pairs i <= j of blocks; b is a row's own block. And how many blocks there are."""
+    blocks, _ = grid_blocks(rows)
+    own = rows.withColumn("b", grid_block("doc_id", blocks))
+    sent = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "doc_id", "v")
+    return sent.groupBy("i", "j"), blocks
 
-    return sent.groupBy("i", "j").applyInArrow(meet, f"a {kind}, b {kind}, score double")
+
+def pair_tiles(group: pa.Table) -> Iterator[tuple[bool, pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of a pair of blocks, tile by tile: whether they are one block, ids, the places of both tiles' rows, all their inner products. Rows go by id, so another pass has the same products."""
+    group = group.sort_by([("doc_id", "ascending")]).combine_chunks()
+    ids, side = group.column("doc_id").combine_chunks(), group.column("b").to_numpy()
+    i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+    first, last, m = np.flatnonzero(side == i), np.flatnonzero(side == j), matrix(group)
+    for a in range(0, len(first), TILE):
+        for b in range(0, len(last), TILE):
+            x, y = first[a : a + TILE], last[b : b + TILE]
+            yield i == j, ids, x, y, m[x] @ m[y].T
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -141,11 +159,112 @@ def sampled(vectors: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return vectors.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(n)
 
 
+#: Bins of a pass over all pairs, and how many values a pass may hand to the driver.
+PAIR_BINS = 4096
+PAIR_VALUES = 1 << 18
+
+
 def pairwise_stats(vectors: DataFrame, sample: int | None = None) -> DataFrame:
-    """One row: n, mean and median inner product of all pairs; of those of a hash sample of so many rows, if that is asked for."""
+    """One row: n, mean and median inner product of all pairs; of those of a hash sample of so many rows, if that is asked for. The pairs aren't kept: each pass counts their products in bins, and the next one looks into the bins with the middle values, until these are few."""
     v = (vectors if sample is None else sampled(vectors, sample)).select("doc_id", V.doubles(F.col("embedding")).alias("v"))
-    pairs = compared(v.select(F.col("doc_id").alias("a"), F.col("v").alias("va")), v.select(F.col("doc_id").alias("b"), F.col("v").alias("vb"))).where("a < b").select(V.dot(F.col("va"), F.col("vb")).alias("s"))
-    return pairs.agg(F.avg("s").alias("mean_dot"), F.percentile("s", F.lit(0.5)).alias("median_dot"), F.count(F.lit(1)).alias("n_pairs"))
+    # pairs of equal ids don't count
+    same = F.col("n") * (F.col("n") - 1) / 2
+    rows, repeats = v.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(same), F.lit(0.0))).first()
+    known = v.where(usable() & F.col("doc_id").isNotNull())
+    top = known.agg(F.max(V.dot(F.col("v"), F.col("v")))).first()[0]
+    out = lambda mean, median: v.sparkSession.createDataFrame([(mean, median, rows * (rows - 1) // 2 - int(repeats))], "mean_dot double, median_dot double, n_pairs bigint")
+    if top is None:
+        return out(None, None)
+    if not np.isfinite(top):  # not a number, or infinite: as such values are ordered
+        pairs = compared(known.select(F.col("doc_id").alias("a"), F.col("v").alias("va")), known.select(F.col("doc_id").alias("b"), F.col("v").alias("vb"))).where("a < b").select(V.dot(F.col("va"), F.col("vb")).alias("s"))
+        return out(*pairs.agg(F.avg("s"), F.percentile("s", F.lit(0.5))).first())
+    whole = (-float(top), float(top) or 1.0)
+    counts, total = _pair_pass(known, whole, [()])
+    n = int(sum(counts[()].values()))
+    if not n:
+        return out(None, None)
+    found: dict[int, float] = {}
+    asked = {r: ((), r) for r in {(n - 1) // 2, n // 2}}  # the bins that the value lies in, and its place there
+    while asked:
+        values, more = {}, {}
+        for r, (path, place) in asked.items():
+            at, below = next((b, below) for b, below in _running(counts[path]) if place < below + counts[path][b])
+            size, path, place = counts[path][at], (*path, at), place - below
+            lo, hi = _bin(whole, path)
+            if hi - lo < 1e-15 * whole[1]:
+                found[r] = (lo + hi) / 2
+            elif size <= PAIR_VALUES:
+                if path not in values:
+                    values[path] = _pair_values(known, whole, path)
+                found[r] = float(values[path][place])
+            else:
+                more[r] = path, place
+        asked = more
+        if asked:
+            counts, _ = _pair_pass(known, whole, sorted({path for path, _ in asked.values()}))
+    return out(total / n, (found[(n - 1) // 2] + found[n // 2]) / 2)
+
+
+def _running(counts: dict[int, int]) -> Iterator[tuple[int, int]]:
+    """Bins in order, each with the count of those before it."""
+    below = 0
+    for b in sorted(counts):
+        yield b, below
+        below += counts[b]
+
+
+def _bin(whole: tuple[float, float], path: tuple[int, ...]) -> tuple[float, float]:
+    """The bounds of a bin within bins."""
+    lo, hi = whole
+    for b in path:
+        lo, hi = lo + (hi - lo) / PAIR_BINS * b, lo + (hi - lo) / PAIR_BINS * (b + 1)
+    return lo, hi
+
+
+def _bins(s: np.ndarray, lo: float, hi: float) -> np.ndarray:
+    return np.clip((s - lo) * (PAIR_BINS / (hi - lo)), 0, PAIR_BINS - 1).astype(np.int32)
+
+
+def _within(s: np.ndarray, whole: tuple[float, float], path: tuple[int, ...]) -> np.ndarray:
+    for n, b in enumerate(path):
+        s = s[_bins(s, *_bin(whole, path[:n])) == b]
+    return s
+
+
+def _pair_products(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    for same, ids, x, y, s in pair_tiles(pa.Table.from_batches(batches)):
+        if same:  # each pair once, none of equal ids
+            at = ids.to_numpy(zero_copy_only=False)
+            yield s[at[x][:, None] < at[y][None, :]]
+        else:
+            yield s.ravel()
+
+
+def _pair_pass(rows: DataFrame, whole: tuple[float, float], paths: list[tuple[int, ...]]) -> tuple[dict, float]:
+    """How many products of pairs lie in each bin of each path, and the sum of all."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = np.zeros((len(paths), PAIR_BINS), np.int64), 0.0
+        for s in _pair_products(batches):
+            total += float(s.sum())
+            for i, path in enumerate(paths):
+                n[i] += np.bincount(_bins(_within(s, whole, path), *_bin(whole, path)), minlength=PAIR_BINS)
+        i, b = np.nonzero(n)
+        yield pa.RecordBatch.from_pydict({"p": pa.array([*i, -1], pa.int32()), "bin": pa.array([*b, -1], pa.int32()), "n": pa.array([*n[i, b], 0], pa.int64()), "s": pa.array([0.0] * len(i) + [total])})
+
+    got = block_pairs(rows)[0].applyInArrow(count, "p int, bin int, n bigint, s double").groupBy("p", "bin").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).collect()
+    counts = {path: {r["bin"]: r["n"] for r in got if r["p"] == i} for i, path in enumerate(paths)}
+    return counts, sum(r["s"] for r in got if r["p"] == -1)
+
+
+def _pair_values(rows: DataFrame, whole: tuple[float, float], path: tuple[int, ...]) -> np.ndarray:
+    """The products in one bin, in order."""
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in _pair_products(batches):
+            yield pa.RecordBatch.from_pydict({"s": pa.array(_within(s, whole, path))})
+
+    return np.sort(block_pairs(rows)[0].applyInArrow(pick, "s double").toArrow().column("s").to_numpy())
 
 
 def hubness(vectors: DataFrame, k: int = 10) -> DataFrame:

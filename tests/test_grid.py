@@ -85,3 +85,24 @@ def test_knn_distance(rows, spark):
     want = [np.sort(np.sqrt(((v[::3] - x) ** 2).sum(1)))[:4].mean() for x in v]
     got = {r["doc_id"]: r["score"] for r in MO.knn_distance(df, some, 4).collect()}
     assert [got[i] for i in range(len(v))] == pytest.approx(want, abs=1e-9)
+
+
+def test_pairwise_stats_in_few_values_at_a_time(rows, monkeypatch):
+    df, v = rows
+    for values in (0, 50):  # none or few products may reach the driver
+        monkeypatch.setattr(P, "PAIR_VALUES", values)
+        for n in (1, 3, 150):
+            s = (v[:n] @ v[:n].T)[np.triu_indices(n, 1)]
+            r = P.pairwise_stats(df.where(f"doc_id < {n}")).first()
+            if n == 1:
+                assert tuple(r) == (None, None, 0)
+            else:
+                assert (r["mean_dot"], r["median_dot"], r["n_pairs"]) == (pytest.approx(s.mean()), pytest.approx(np.median(s), abs=1e-12), len(s))
+
+
+def test_near_edges_of_blocks(rows):
+    df, v = rows
+    u = v / np.maximum(np.linalg.norm(v, axis=1), 1e-300)[:, None]
+    want = {(a, b) for a in range(len(v)) for b in range(a + 1, len(v)) if round(u[a] @ u[b], 9) >= 0.8}
+    got = [(r["a"], r["b"]) for r in P.near_edges(df, 0.8).collect()]
+    assert set(got) == want and len(got) == len(want)
