@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
 from gleanery.functions import vector as V
-from gleanery.operators.search import TILE, compared, grid_block, grid_blocks, matrix, ranked, usable
+from gleanery.operators.search import TILE, compared, grid_block, grid_blocks, matrix, ranked, saved, usable
 
 
 def length_stats(docs: DataFrame, short: int = 20, long: int = 4000) -> DataFrame:
@@ -114,27 +114,18 @@ def pair_tiles(group: pa.Table) -> Iterator[tuple[bool, pa.Array, np.ndarray, np
 def components(edges: DataFrame) -> DataFrame:
     """id, component (the least id reached) of all ids in edges: least labels with pointer jumping until none changes, each round's result checkpointed where executors can't lose it."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = _saved(both)
-    labels = _saved(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")).select(F.col("a").alias("id"), "c"))
+    both = saved(both)
+    labels = saved(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")).select(F.col("a").alias("id"), "c"))
     while True:
         near = both.join(labels.withColumnsRenamed({"id": "b"}), "b").groupBy("a").agg(F.min("c").alias("m"))
         step = labels.join(near, labels["id"] == near["a"]).select("id", F.col("c").alias("was"), F.least("c", "m").alias("c"))
         top = labels.select(F.col("id").alias("t"), F.col("c").alias("tc"))
-        step = _saved(step.join(top, F.col("c") == F.col("t")).select("id", "was", F.least("c", "tc").alias("c")))
+        step = saved(step.join(top, F.col("c") == F.col("t")).select("id", "was", F.least("c", "tc").alias("c")))
         labels = step.select("id", "c")
         if not step.where("c < was").limit(1).count():
             return labels.withColumnRenamed("c", "component")
 
 
-def _saved(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder the session names; in the warehouse, which all nodes share, where none is named."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
-    return df.checkpoint()
-
-
 def near_duplicate_groups(vectors: DataFrame, threshold: float = 0.92) -> DataFrame:
     """component, size, mean_similarity (over all pairs within), medoid (greatest mean likeness to the rest, ties to the smaller id)."""
     labels = components(near_edges(vectors, threshold))

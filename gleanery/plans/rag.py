@@ -129,7 +129,7 @@ def citation_check(spark, sf):
 
 def passages(spark, sf) -> DataFrame:
     """query_id, query, passages: the hits of the lexical run in order."""
-    hits = S.bm25_topk(documents(spark, sf), benchmark(spark, sf), 5).join(documents(spark, sf), "doc_id")
+    hits = S.beside(S.bm25_topk(documents(spark, sf), benchmark(spark, sf), 5), documents(spark, sf))
     p = F.struct("rank", "text", "source", "score", F.lit("").alias("title"))
     return hits.groupBy("query_id").agg(F.sort_array(F.collect_list(p)).alias("passages")).join(benchmark(spark, sf), "query_id")
 
@@ -146,7 +146,7 @@ def rag_prompt(spark, sf):
 
 @query(f"WITH {BM25}, h AS (SELECT query_id, rank, source FROM bm JOIN documents USING (doc_id)) SELECT query_id, string_agg('[S' || rank || '] ' || source, chr(10) ORDER BY rank) AS bibliography FROM h GROUP BY query_id")
 def bibliography(spark, sf):
-    hits = S.bm25_topk(documents(spark, sf), benchmark(spark, sf), 10).join(documents(spark, sf).select("doc_id", "source"), "doc_id")
+    hits = S.beside(S.bm25_topk(documents(spark, sf), benchmark(spark, sf), 10), documents(spark, sf).select("doc_id", "source"))
     return hits.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "source"))), lambda x: x["source"]).alias("s")).select("query_id", T.bibliography(F.col("s")).alias("bibliography"))
 
 
