@@ -10,7 +10,7 @@ from gleanery.plans import catalogue
 SF = "/root/testdata/sf0.001"
 #: Queries whose plans read no documents: these were read in passes whose few rows were saved.
 SAVED = [
-    "ab_compare", "bootstrap_ci", "paired_bootstrap", "snapshot_summary", "ab_outcomes", "sign_test", "snapshot_regression", "model_ranking", "gate_per_query", "gate_changes", "combsum", "eval_metrics_per_query", "combsum_raw", "rrf", "rrf_weighted", "eval_metrics_mean", "coverage_verdicts", "score_distribution",
+    "ab_compare", "bootstrap_ci", "paired_bootstrap", "snapshot_summary", "ab_outcomes", "sign_test", "snapshot_regression", "model_ranking", "gate_per_query", "gate_changes", "combsum", "eval_metrics_per_query", "combsum_raw", "rrf", "rrf_weighted", "eval_metrics_mean", "coverage_verdicts", "score_distribution", "eval_gmap",
 ]
 
 
