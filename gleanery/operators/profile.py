@@ -18,7 +18,7 @@ from gleanery.operators.search import TILE, compared, grid_block, grid_blocks, m
 def length_stats(docs: DataFrame, short: int = 20, long: int = 4000) -> DataFrame:
     """One row over all documents: means and interpolated percentiles of characters and words (empty ones count), and how many are empty, very short, very long (empty ones don't)."""
     t = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.select(F.length(t).alias("c"), F.size(T.profile_tokens(t)).alias("w"), (F.trim(F.regexp_replace(t, r"(?U)\s+", " ")) == "").alias("empty"))
+    d = docs.select(F.length(t).alias("c"), F.size(T.profile_tokens(t)).alias("w"), T.blank(t).alias("empty"))
     p = lambda x, at: F.percentile(x, F.lit(at))
     return d.agg(
         F.count(F.lit(1)).alias("n"), F.avg("c").alias("char_mean"), p("c", 0.5).alias("char_median"), p("c", 0.9).alias("char_p90"), p("c", 0.99).alias("char_p99"),
@@ -51,7 +51,8 @@ def top_terms(docs: DataFrame, n: int = 20) -> DataFrame:
 
 def exact_duplicate_groups(docs: DataFrame, cap: int | None = None) -> DataFrame:
     """doc_key, size, first_id and the ids of groups of equal normal form; blank documents don't count. Largest first, cut to cap."""
-    d = docs.select("doc_id", T.folded(F.coalesce("text", F.lit(""))).alias("f")).where("f <> ''").select("doc_id", F.sha1("f").alias("doc_key"))
+    t = F.coalesce("text", F.lit(""))
+    d = docs.where(~T.blank(t)).select("doc_id", T.duplicate_key(t).alias("doc_key"))
     g = d.groupBy("doc_key").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("first_id")).where("size > 1")
     if cap is not None:
         g = g.orderBy(F.desc("size"), "first_id").limit(cap)

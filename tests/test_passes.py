@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from gleanery.operators import profile as P
 from gleanery.operators import search as S
 from gleanery.operators import stats as ST
 from gleanery.plans import catalogue
@@ -72,3 +73,12 @@ def test_documents_are_read_in_passes(spark, name):
 def test_passages_leave_documents_in_place(spark):
     plan = catalogue.queries()["rag_prompt"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_a_text_is_folded_once(spark):
+    texts = ["", " ", "\u00a0\t", "\u3000\n", " x", "X  ", None, "a\u00a0 b", "A b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    groups = P.exact_duplicate_groups(docs)
+    assert groups._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
+    assert sorted((r["first_id"], r["size"]) for r in groups.collect()) == [(4, 2), (7, 2)]
+    assert P.length_stats(docs).first()["empty_count"] == 5
